@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, jaccard, packing, tokens, topk
+from threadloom.llm import chat, decontaminate, jaccard, packing, tokens, topk
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -86,6 +86,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, share=0.8)
+
+
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
@@ -93,6 +98,7 @@ def queries() -> dict:
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_mixture_packing": op8_mixture_packing,
         "op9_token_counts": op9_token_counts,
+        "op10_decontamination": op10_decontamination,
     }
 
 
