@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontaminate, jaccard, packing, tokens, topk
+from threadloom.llm import chat, decontaminate, jaccard, packing, pii, tokens, topk
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -74,6 +74,10 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, pct=85)
 
@@ -95,6 +99,7 @@ def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_exact_topk": op2_exact_topk,
+        "op5_pii_deobfuscation": op5_pii_deobfuscation,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_mixture_packing": op8_mixture_packing,
         "op9_token_counts": op9_token_counts,
