@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontaminate, jaccard, packing, pii, tokens, topk
+from threadloom.llm import chat, decontaminate, jaccard, packing, pii, secrets, tokens, topk
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -82,6 +82,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, pct=85)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_samples(spark))
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents"), model))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=1024, end_id=0)
 
@@ -101,6 +106,7 @@ def queries() -> dict:
         "op2_exact_topk": op2_exact_topk,
         "op5_pii_deobfuscation": op5_pii_deobfuscation,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_secret_scan": op7_secret_scan,
         "op8_mixture_packing": op8_mixture_packing,
         "op9_token_counts": op9_token_counts,
         "op10_decontamination": op10_decontamination,
