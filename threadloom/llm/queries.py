@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontaminate, jaccard, packing, pii, secrets, tokens, topk
+from threadloom.llm import chat, decontaminate, jaccard, langid, packing, pii, secrets, tokens, topk
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -74,6 +74,14 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.train(docs.where(~F.coalesce(held_out, F.lit(False))), per_language=400)
+    found = langid.predict(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -104,6 +112,7 @@ def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_exact_topk": op2_exact_topk,
+        "op4_language_id": op4_language_id,
         "op5_pii_deobfuscation": op5_pii_deobfuscation,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_secret_scan": op7_secret_scan,
