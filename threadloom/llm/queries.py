@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontaminate, jaccard, langid, packing, pii, secrets, tokens, topk
+from threadloom.llm import chat, decontaminate, jaccard, langid, packing, pii, secrets, tokens, topk, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -74,6 +74,14 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -112,6 +120,7 @@ def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_exact_topk": op2_exact_topk,
+        "op3_toxicity": op3_toxicity,
         "op4_language_id": op4_language_id,
         "op5_pii_deobfuscation": op5_pii_deobfuscation,
         "op6_ngram_jaccard": op6_ngram_jaccard,
