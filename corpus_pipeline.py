@@ -1,15 +1,67 @@
-"""Corpus pipeline."""
+"""A corpus from documents: toxic ones go, of near duplicates one stays,
+those that hold benchmark items go, personal data is masked, and what is left is
+packed into training sequences. Each stage applies one operator of
+``threadloom.llm`` to all that the stage before it kept.
+
+Null and empty texts pass every filter and pack as the end token alone; repeated
+rows are near duplicates of each other; columns beside those of ``documents``
+are carried along to the last stage, which leaves them out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.llm import decontaminate, jaccard, packing, pii, toxicity
+from threadloom.llm._arrow import written
+from threadloom.llm.queries import table, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.7 (null and empty texts, too,
+    have a score)."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model, threshold=0.7)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, k=5, pct=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), k=5, share=0.8)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each identifier replaced by its kind; n_chars follows."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens in the sources' natural mixture."""
+    return packing.pack(docs, tokenizer_path(), window=1024, end_id=0)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
 
-STAGES = []
+#: Models and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``; between stages rows are written and read."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else written(docs), sf_dir)
     return docs

@@ -54,7 +54,7 @@ def test_against_all_pairs(spark, k, pct):
     vocab = [f"w{i}" for i in range(400)]
     common = [rnd.choice(vocab) for _ in range(60)]
     rows, d = [], 0
-    for _ in range(40):
+    for _ in range(30):
         base = [rnd.choice(vocab[: rnd.choice([5, 400])]) for _ in range(rnd.randint(1, 120))]
         if rnd.random() < 0.4:
             base = base[:5] + common + base[5:12]

@@ -193,15 +193,59 @@ class Index:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, share, changed) for each document and item found in it;
     ``changed``: with other slot values."""
+    out = None
+    for items in _blocks(benchmark, item_col, item_text_col):
+        part = _pass(docs, items, k, share, id_col, text_col)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no item is found, all columns as they are."""
+    for items in _blocks(benchmark, item_col, item_text_col):
+        docs = _without(docs, items, k, share, text_col)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list]:
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t IS NOT NULL")
     words = items.agg(F.sum(F.size(F.split("t", r"\s+")))).head()[0] or 0
     blocks = max(1, -(-words // (BLOCK_WORDS // 2)))
-    out = None
     for n in range(blocks):
-        some = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).collect()]
-        part = _pass(docs, some, k, share, id_col, text_col)
-        out = part if out is None else out.unionByName(part)
-    return out
+        yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).collect()]
+
+
+def _found(index: Index, column, share: float) -> list[tuple[int, object, float, bool]]:
+    """(row, item id, share, changed) of a batch's texts."""
+    raw, offs = text_buffers(column)
+    rows = []
+    for a, b in slices(offs):
+        words = Words(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        by = defaultdict(list)
+        for w, x, size in index.matches(words):
+            text = int(np.searchsorted(words.first, w, side="right")) - 1
+            by[text, int(np.searchsorted(index.words.first, x, side="right")) - 1].append((w, x, size))
+        for (text, item), pairs in by.items():
+            if len({x for _, x, _ in pairs}) >= share * int(index.total[item]):
+                got, changed = index.found(words, pairs, item)
+                if got >= share:
+                    rows.append((a + text, index.ids[item], got, changed))
+    return rows
+
+
+def _without(docs: DataFrame, items: list, k: int, share: float, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((items, k))
+    held: dict = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "index" not in held:
+            held["index"] = Index(*shared.value)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[r[0] for r in _found(held["index"], batch.column(batch.schema.get_field_index(text_col)), share)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _pass(docs: DataFrame, items: list, k: int, share: float, id_col: str, text_col: str) -> DataFrame:
@@ -211,21 +255,8 @@ def _pass(docs: DataFrame, items: list, k: int, share: float, id_col: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "index" not in held:
             held["index"] = Index(*shared.value)
-        index = held["index"]
         for batch in batches:
-            raw, offs = text_buffers(batch.column(1))
-            rows = []
-            for a, b in slices(offs):
-                words = Words(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                by = defaultdict(list)
-                for w, x, size in index.matches(words):
-                    text = int(np.searchsorted(words.first, w, side="right")) - 1
-                    by[text, int(np.searchsorted(index.words.first, x, side="right")) - 1].append((w, x, size))
-                for (text, item), pairs in by.items():
-                    if len({x for _, x, _ in pairs}) >= share * int(index.total[item]):
-                        got, changed = index.found(words, pairs, item)
-                        if got >= share:
-                            rows.append((a + text, index.ids[item], got, changed))
+            rows = _found(held["index"], batch.column(1), share)
             at, item, got, changed = zip(*rows) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(got, pa.float64()), pa.array(changed, pa.bool_())], names=["doc_id", "item_id", "share", "changed"])
 

@@ -358,3 +358,15 @@ def _roots(links: DataFrame) -> DataFrame:
         best = written(best.join(step.withColumnRenamed("a", "cid"), "cid", "left").select("cid", "root", F.least("r", "near").alias("r")))
     # farther than three links: nothing is known but that distances are at most 1
     return best.fillna(1.0, ["r"])
+
+
+def keep_one(df: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``df``: that of the smallest id, or of the
+    smallest hash of id and text where ids are null or repeated. Texts without
+    shingles all stay (of equal rows one)."""
+    unique = df.agg((F.count("*") == F.count_distinct(id_col)).alias("u")).head().u
+    keyed = df.withColumn("__key", F.col(id_col).cast("long") if unique else F.xxhash64(id_col, text_col))
+    found = jaccard_components(keyed, k, pct, "__key", text_col)
+    keep = written(found.where("__key = component_id").select("__key").distinct())
+    kept = keyed.join(F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep, "__key", "left_semi")
+    return (kept if unique else kept.dropDuplicates(["__key"])).drop("__key")

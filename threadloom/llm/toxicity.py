@@ -331,16 +331,36 @@ def score(df: DataFrame, model: Model | float, threshold: float = 0.7, id_col: s
             held["kernel"] = Kernel(model.landmarks)
             held["white"] = _whitener(held["kernel"].gram)
         for batch in batches:
-            raw, offs = text_buffers(batch.column(0))
-            for a, b in slices(offs):
-                if isinstance(model, Model):
-                    x = features(held["kernel"], held["white"], raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                    got = model.score(x @ model.w + model.b)
-                else:
-                    got = np.full(b - a, model)
-                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[1:]] + [pa.array(got.astype(np.float64)), pa.array((got >= threshold).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
+            got = _scores(model, held, batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
 
     kept = ", ".join(f"`__k{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     rows = df.select(F.col(text_col).alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
     out = rows.mapInArrow(run, f"{kept}, score double, predicted int")
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
+
+
+def keep_clean(df: DataFrame, model: Model | float, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose score is below ``threshold``, all columns as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    held: dict = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        if isinstance(model, Model) and "kernel" not in held:
+            held["kernel"] = Kernel(model.landmarks)
+            held["white"] = _whitener(held["kernel"].gram)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, held, batch.column(batch.schema.get_field_index(text_col))) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _scores(model: Model | float, held: dict, column) -> np.ndarray:
+    raw, offs = text_buffers(column)
+    out = np.full(len(offs) - 1, model if not isinstance(model, Model) else 0.0)
+    if isinstance(model, Model):
+        for a, b in slices(offs):
+            x = features(held["kernel"], held["white"], raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            out[a:b] = model.score(x @ model.w + model.b)
+    return out
