@@ -72,6 +72,22 @@ def test_against_all_pairs(spark, k, pct):
     assert got(df, k, pct) == brute(rows, k, pct)
 
 
+def test_large_families_of_near_copies(spark, monkeypatch):
+    rnd = random.Random(9)
+    monkeypatch.setattr(jaccard, "CROWD", 4)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(70)]
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(rnd.randint(1, 4)):
+                copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(500)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, " ".join(f"f0w{j}" for j in range(30)) + f" y{i} z{i} q{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(df, 4, 85) == brute(rows, 4, 85)
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(df).count() == 0

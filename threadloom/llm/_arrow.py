@@ -3,6 +3,7 @@ in the cluster's shared folder, and 64-bit hashes computed with numpy."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in slices of about so many bytes, so that numpy
 #: temporaries stay small whatever the size of an Arrow batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +72,27 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES):
         a = b
 
 
+#: Bytes of an Arrow batch of texts, in the executor and again in its worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to BATCH_BYTES: by rows alone,
+    a batch of long texts has no bound."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = re.fullmatch(r"(-?\d+)([a-z]*)", str(conf.get(key)).lower())
+    scale = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    if now is None or not 0 < int(now[1]) * scale.get(now[2], 1 << 40) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Returns what Arrow's pool holds but doesn't use: workers live on between
+    stages, and their pools would add up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (xor-shift and multiply), vectorised."""
     x = x.astype(np.uint64, copy=True)

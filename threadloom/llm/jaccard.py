@@ -16,6 +16,9 @@
    roots left are verified, and if the distance between two roots, less the
    distances of their members from them, could hide a link between members
    (Jaccard distance is a metric), those members are paired and verified.
+   Where more than CROWD roots meet, joining all would take the square of their
+   number; there members are compared by bitmap, first only likeliest partners
+   are verified and linked roots become one, and then what is left.
 5. Components of all verified links are the answer. A pair of linked texts is
    either verified, or both are under one root, or filtered by a bound that
    proves there is no link; so no component is lost.
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm._arrow import mix64, slices, text_buffers, written
+from threadloom.llm._arrow import bounded_batches, give_back, mix64, slices, text_buffers, written
 from threadloom.llm.components import components
 from threadloom.llm.shingles import shingle_sets
 
@@ -54,6 +57,9 @@ BITMAP = 64
 BROADCAST_IDS = 500_000
 #: A partner with more pairs than this is dealt over several tasks.
 SALT_PAIRS = 256
+#: Under a shingle with more roots than this, members are compared by bitmap in
+#: one task for each shingle (100 bytes a member) instead of joined.
+CROWD = 16
 _CHUNKS = 16
 
 
@@ -67,6 +73,7 @@ def _sets(batches: Iterator[pa.RecordBatch], text: int, k: int):
         for a, b in slices(offs):
             values, at = shingle_sets(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k)
             yield batch.slice(a, b - a), values, at
+        give_back()
 
 
 def _sum_by(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -227,7 +234,7 @@ def jaccard_components(df: DataFrame, k: int = 4, pct: int = 85, id_col: str = "
     """(id, n_shingles, component_id) for each row: texts are linked when
     100 * intersection >= pct * union of their ``k``-word shingle sets."""
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    base = df.select(F.col(id_col).cast("long").alias("id"), key.alias("rk"), F.col(text_col).alias("text"))
+    base = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), key.alias("rk"), F.col(text_col).alias("text"))
     for seed in range(8):
         profile = _profile(base, k, seed)
         rows = profile.where("kind = 0")
@@ -235,17 +242,19 @@ def jaccard_components(df: DataFrame, k: int = 4, pct: int = 85, id_col: str = "
         classes = written(classes)
         if classes.where("c1 <> c2 OR n <> n2").isEmpty():  # else two sets share a 64-bit class: hash anew
             break
-    linked = _links(base, profile, classes, k, pct, seed)
-    top = components(linked)
-    named = top.join(classes.select(F.col("cid").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("c"))
-    of_class = top.join(named, "root").select(F.col("node").alias("cid"), "c")
-    whole = classes.select("cid", "least").join(of_class, "cid", "left").select("cid", F.coalesce("c", "least").alias("c"))
+    roots, links = _links(base, profile, classes, k, pct, seed)
+    top = components(links)
+    of_class = roots.select("cid", "root").join(top.withColumnRenamed("root", "top"), roots["root"] == top["node"], "left").select("cid", F.coalesce("top", "root").alias("top"))
+    of_class = of_class.join(classes.select("cid", "least"), "cid")
+    named = of_class.groupBy("top").agg(F.min("least").alias("c"))
+    whole = of_class.join(named, "top").select("cid", "c")
     out = rows.join(whole, "cid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("c")), F.col("id")).alias("component_id"))
     return out
 
 
-def _links(base: DataFrame, profile: DataFrame, classes: DataFrame, k: int, pct: int, seed: int) -> DataFrame:
-    """Verified links (a, b) between classes, enough for all components."""
+def _links(base: DataFrame, profile: DataFrame, classes: DataFrame, k: int, pct: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Each class's root (cid, root) by verified links, and verified links (a, b)
+    between roots or what hangs on them: enough for all components."""
     counts = _merged_sketch(profile)
     typical = max(1.0, float(np.median(counts)))
     # steps of a quarter octave above what chance gives; below it one level
@@ -265,7 +274,7 @@ def _links(base: DataFrame, profile: DataFrame, classes: DataFrame, k: int, pct:
 
     # round 1: for each class one partner
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / pct)))
-    star = Window.partitionBy("token", "band").orderBy("gid")
+    star = Window.partitionBy("token", "band").orderBy("n", "gid")
     first = tokens.withColumn("band", band).withColumns({"fg": F.first("gid").over(star), "fn": F.first("n").over(star), "fp": F.first("pos").over(star)})
     pick = F.explode(F.array(F.struct(F.col("fg").alias("g"), F.col("fn").alias("m"), F.col("fp").alias("p")), F.struct(F.col("pg").alias("g"), F.col("pn").alias("m"), F.col("pp").alias("p"))))
     near = first.select("gid", "n", "pos", pick.alias("x")).select("gid", "n", "pos", F.col("x.g").alias("g"), F.col("x.m").alias("m"), F.col("x.p").alias("p"))
@@ -277,12 +286,11 @@ def _links(base: DataFrame, profile: DataFrame, classes: DataFrame, k: int, pct:
     pairs = lone.unionByName(grouped)
     facts = classes.select("cid", "n", "bits")
     pairs = _bounded(pairs, facts, pct, 0.0).select(F.col("y").alias("a"), F.col("x").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "b").dropDuplicates(["lo", "hi"]).select("a", "b")
     found = _with_distance(verify(docs, classes, pairs, k, seed), facts)
-    link1 = written(found.where(_linked(pct)))
 
-    # hang linked classes on roots; a path's distances bound a member's radius
-    hung = written(_roots(link1))
+    # hang linked classes on roots; a path's distances bound a member's radius.
+    # Partners come before in one order, (n, gid, cid), so there is no cycle
+    hung = _hung(written(found.where(_linked(pct)).select(F.col("b").alias("cid"), F.col("a").alias("root"), F.col("dist").alias("r"))))
     roots = written(classes.select("cid", "gid", "n").join(hung, "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("r", F.lit(0.0)).alias("r")))
 
     # round 2: pairs of different roots
@@ -290,8 +298,11 @@ def _links(base: DataFrame, profile: DataFrame, classes: DataFrame, k: int, pct:
     posts = again.join(roots.select("gid", "root", "cid", "r"), "gid")
     at = posts.groupBy("token", "root").agg(F.min("n").alias("n1"), F.max("n").alias("n2"), F.min("pos").alias("pos"))
     several = Window.partitionBy("token")
-    at = at.withColumn("roots", F.count("*").over(several)).where("roots > 1").drop("roots")
-    at = written(at)
+    at = written(at.withColumn("roots", F.count("*").over(several)).where("roots > 1"))
+    crowded = at.where(F.col("roots") > CROWD).select("token").distinct()
+    crowd = posts.join(crowded, "token", "left_semi").select("token", "cid", "root", "n", "pos")
+    crowd_links = _crowd_links(docs, classes, crowd, facts, roots, found, k, pct, seed)
+    at = at.where(F.col("roots") <= CROWD).drop("roots")
     a, b = at.select(*[F.col(c).alias(f"a_{c}") for c in at.columns]), at.select(*[F.col(c).alias(f"b_{c}") for c in at.columns])
     # of the sizes in both ranges, the nearest ones
     met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_root") < F.col("b_root")) & (F.col("a_n2") * 100 >= F.col("b_n1") * pct) & (F.col("b_n2") * 100 >= F.col("a_n1") * pct))
@@ -312,17 +323,117 @@ def _links(base: DataFrame, profile: DataFrame, classes: DataFrame, k: int, pct:
     whole = more.select(F.col("a").alias("x"), F.col("b").alias("y"), "dist").unionByName(found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "dist"))
     limit = 1 - pct / 100
     open_ = met.join(whole, ["x", "y"]).where(F.col("dist") > limit).where((F.col("fx") + F.col("fy") > 0) & (F.col("dist") <= limit + 1e-9 + F.col("fx") + F.col("fy")))
-    links = link1.select("a", "b").unionByName(link2.select("a", "b"))
+    links = link2.select("a", "b").unionByName(crowd_links)
     open_ = written(open_.select("x", "y", "dist"))
     if open_.isEmpty():
-        return links
+        return roots, links
     own = lambda c, m, r, n: roots.select(F.col("root").alias(c), F.col("cid").alias(m), F.col("r").alias(r), F.col("n").alias(n))
     inside = open_.join(own("x", "u", "ru", "nu"), "x").join(own("y", "v", "rv", "nv"), "y")
     inside = inside.where((F.col("dist") <= limit + 1e-9 + F.col("ru") + F.col("rv")) & (F.col("nu") * 100 >= F.col("nv") * pct) & (F.col("nv") * 100 >= F.col("nu") * pct))
     inside = inside.where((F.col("u") != F.col("x")) | (F.col("v") != F.col("y")))
     inside = _bounded(inside.select(F.col("u").alias("x"), F.col("v").alias("y")), facts, pct, 0.0).select(F.col("x").alias("a"), F.col("y").alias("b"))
     last = _with_distance(verify(docs, classes, inside, k, seed), facts)
-    return links.unionByName(last.where(_linked(pct)).select("a", "b"))
+    up = roots.select("cid", "root")
+    inner = last.where(_linked(pct)).join(up.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
+    return roots, links.unionByName(inner.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+
+def _crowd_links(docs: DataFrame, classes: DataFrame, crowd: DataFrame, facts: DataFrame, roots: DataFrame, found: DataFrame, k: int, pct: int, seed: int) -> DataFrame:
+    """Links between roots (a, b) under shingles where many roots meet. Members
+    are compared by bitmap where they stand. Twice, each has only its likeliest
+    partner under another root verified, and roots that are linked become one; so
+    a family of near copies is one root before all pairs that the bitmaps let
+    through are verified."""
+    empty = roots.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0)
+    crowd = written(crowd.join(facts.select("cid", "bits"), "cid"))
+    if crowd.isEmpty():
+        return empty
+    done = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    up = roots.select("cid", "root")
+    links = empty
+    for best_only in (True, True, False):
+        merged = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rows = crowd.join(merged, "root", "left").withColumn("top", F.coalesce("top", "root"))
+        whole = Window.partitionBy("token")
+        rows = rows.withColumns({"lo": F.min("top").over(whole), "hi": F.max("top").over(whole)}).where("lo <> hi")
+        rows = rows.select("token", "cid", "top", "n", "pos", "bits").sortWithinPartitions("token", "n", "cid")
+        pairs = rows.mapInArrow(_compared(pct, best_only), "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
+        got = verify(docs, classes, pairs, k, seed)
+        done = done.unionByName(got.select("a", "b"))
+        good = _with_distance(got, facts).where(_linked(pct)).select("a", "b")
+        ends = good.join(up.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
+        links = written(links.unionByName(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    return links
+
+
+def _compared(pct: int, best_only: bool):
+    """An Arrow function over rows (token, cid, top, n, pos, bits) sorted by token
+    and n: pairs (a, b), a < b, under one token and different tops, whose sizes,
+    positions and bitmaps allow a link; or for each row only the nearest one."""
+
+    def pairs_of(cid, top, n, pos, bits):
+        out, tile = [], 512
+        limit = 1 - pct / 100 + 1e-9
+        for x in range(0, len(cid), tile):
+            i = slice(x, x + tile)
+            near = np.full(min(tile, len(cid) - x), np.inf)
+            mate = np.full(len(near), -1)
+            to = int(np.searchsorted(n, n[i][-1] * 100 // pct, side="right"))
+            start = int(np.searchsorted(n, -(-n[x] * pct // 100), side="left")) if best_only else x
+            for y in range(start, to, 2048):
+                j = slice(y, min(y + 2048, to))
+                odd = np.zeros((len(near), j.stop - y), np.int32)
+                for w in range(bits.shape[1]):
+                    odd += np.bitwise_count(bits[i, w][:, None] ^ bits[j, w][None, :])
+                na, nb = n[i][:, None], n[j][None, :]
+                apart = np.maximum(odd, np.abs(na - nb))
+                least = 2 * apart / (na + nb + apart)
+                need = -(-pct * (na + nb) // (100 + pct))
+                ok = (least <= limit) & (top[i][:, None] != top[j][None, :]) & (np.minimum(na - pos[i][:, None], nb - pos[j][None, :]) >= need)
+                if best_only:
+                    least = np.where(ok, least, np.inf)
+                    m = least.argmin(axis=1)
+                    better = least[np.arange(len(near)), m] < near
+                    near[better], mate[better] = least[np.arange(len(near)), m][better], m[better] + y
+                else:
+                    r, c = np.nonzero(ok)
+                    keep = r + x < c + y
+                    out.append((cid[r[keep] + x], cid[c[keep] + y]))
+            if best_only:
+                r = np.flatnonzero(mate >= 0)
+                out.append((cid[r + x], cid[mate[r]]))
+        return (np.concatenate(z) for z in zip(*out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(z) for z in zip(*held)]
+            token = columns[0]
+            edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            for a, b in zip(edges, edges[1:]):
+                if b - a > 1:
+                    x, y = pairs_of(*(c[a:b] for c in columns[1:]))
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: batch.column(c).to_numpy().astype(np.int64)  # noqa: E731, B023
+            bits = batch.column(5).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64)
+            columns = (get(0), get(1), get(2), get(3), get(4), bits)
+            # the last token may go on in the next batch
+            cut = int(np.searchsorted(-1 * (columns[0] != columns[0][-1]), 0)) if columns[0][0] != columns[0][-1] else 0
+            if cut:
+                held.append(tuple(c[:cut] for c in columns))
+                yield from done()
+                held = []
+            held.append(tuple(c[cut:] for c in columns))
+        if held:
+            yield from done()
+
+    return run
 
 
 def _bounded(pairs: DataFrame, facts: DataFrame, pct: int, reach: F.Column | float) -> DataFrame:
@@ -347,17 +458,16 @@ def _linked(pct: int) -> F.Column:
     return F.col("inter") * 100 >= F.col("uni") * pct
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    """(cid, root, r) of linked classes: the component's smallest class, and an
-    upper bound of the distance to it along links."""
-    top = components(links.select("a", "b"))
-    both = links.select("a", "b", "dist").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    best = top.select(F.col("node").alias("cid"), "root", F.when(F.col("node") == F.col("root"), 0.0).cast("double").alias("r"))
-    for _ in range(3):
-        step = both.join(best.where("r IS NOT NULL").select(F.col("cid").alias("b"), F.col("r").alias("rb")), "b").groupBy("a").agg(F.min(F.col("dist") + F.col("rb")).alias("near"))
-        best = written(best.join(step.withColumnRenamed("a", "cid"), "cid", "left").select("cid", "root", F.least("r", "near").alias("r")))
-    # farther than three links: nothing is known but that distances are at most 1
-    return best.fillna(1.0, ["r"])
+def _hung(up: DataFrame) -> DataFrame:
+    """(cid, root, r): every class of a forest (cid, root, r: its parent and the
+    distance to it) at the top of its tree, r the sum of distances on the way.
+    Each round halves the depth."""
+    while True:
+        over = up.select(F.col("cid").alias("root"), F.col("root").alias("next"), F.col("r").alias("more"))
+        new = written(up.join(over, "root", "left").select("cid", F.coalesce("next", "root").alias("root"), (F.col("r") + F.coalesce("more", F.lit(0.0))).alias("r"), F.col("next").isNotNull().alias("moved")))
+        up = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return up
 
 
 def keep_one(df: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
