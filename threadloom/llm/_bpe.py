@@ -24,7 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Unicode's White_Space (fixed values).
 WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Distinct pretokens that a worker keeps; when full the table starts anew.
-TABLE_LIMIT = 1_500_000
+TABLE_LIMIT = 400_000
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._arrow import mix64, slices, span_hashes, text_buffers
+from threadloom.llm._arrow import bounded_batches, give_back, mix64, slices, span_hashes, text_buffers
 from threadloom.llm._fold import folded
 
 #: Words of units (fixed values).
@@ -244,8 +244,9 @@ def _without(docs: DataFrame, items: list, k: int, share: float, text_col: str)
             clean = np.ones(batch.num_rows, bool)
             clean[[r[0] for r in _found(held["index"], batch.column(batch.schema.get_field_index(text_col)), share)]] = False
             yield batch.filter(pa.array(clean))
+            give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _pass(docs: DataFrame, items: list, k: int, share: float, id_col: str, text_col: str) -> DataFrame:
@@ -261,4 +262,4 @@ def _pass(docs: DataFrame, items: list, k: int, share: float, id_col: str, text_
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(got, pa.float64()), pa.array(changed, pa.bool_())], names=["doc_id", "item_id", "share", "changed"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, share double, changed boolean")
+    return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, item_id long, share double, changed boolean")

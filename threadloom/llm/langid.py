@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm._arrow import slices, text_buffers
+from threadloom.llm._arrow import bounded_batches, slices, text_buffers
 from threadloom.llm._fold import folded
 from threadloom.llm.svm import linear_svm
 
@@ -200,4 +200,4 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 has &= model is not None
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x if h else "und" for x, h in zip(langs, has)], pa.string()), pa.array(np.where(has, sure, 0.0))], names=["id", "lang_pred", "score"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return bounded_batches(df.select(id_col, text_col)).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

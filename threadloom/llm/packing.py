@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm import _bpe
-from threadloom.llm._arrow import SLICE_BYTES, slices, text_buffers, written
+from threadloom.llm._arrow import SLICE_BYTES, bounded_batches, give_back, slices, text_buffers, written
 
 #: Shares are multiples of 1 / UNITS.
 UNITS = 1 << 18
@@ -147,7 +147,7 @@ def token_table(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
         encoder, part, so_far = _bpe.load(tokenizer_path), TaskContext.get().partitionId(), {}
         for batch in batches:
             raw, offs = text_buffers(batch.column(1))
-            for a, b in slices(offs, 4 * SLICE_BYTES):
+            for a, b in slices(offs, 2 * SLICE_BYTES):
                 counts, ids = encoder.encode(raw, offs[a : b + 1], want_ids=True)
                 ends = np.cumsum(counts)
                 all_ids = np.insert(ids, ends, end_id).astype("<u4")
@@ -169,9 +169,11 @@ def token_table(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
                     columns[7] = [short[2 * i : 2 * j] for i, j in zip(lengths.tolist(), lengths[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "doc_id", "source", "q_off", "start", "n", "doc_tokens", "ids"])
 
+            give_back()
+
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col), F.col(text_col), F.col(source_col).cast("string").alias("source"))
-    return written(rows.mapInArrow(run, f"part int, doc_id {kind}, source string, q_off long, start long, n long, doc_tokens long, ids binary"))
+    return written(bounded_batches(rows).mapInArrow(run, f"part int, doc_id {kind}, source string, q_off long, start long, n long, doc_tokens long, ids binary"))
 
 
 def pack(
@@ -216,8 +218,9 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                some = batch.slice(a, 512)
+            sizes = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))])
+            for a, b in slices(sizes, SLICE_BYTES):
+                some = batch.slice(a, b - a)
                 get = lambda k: some.column(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
                 first, n, whole, queue, begin = (get(k).astype(np.int64) for k in range(1, 6))
                 raw, offs = text_buffers(some.column(6))
@@ -231,6 +234,7 @@ def pack(
                     [some.column(0).take(pa.array(run_)), *map(pa.array, (first[run_] + start, length, np.array(crc, np.int64), whole[run_], position // window, position % window))],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
+            give_back()
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", "start", "n", "doc_tokens", F.col("queue").cast("long"), F.col("seg") + F.col("q_off"), "ids")

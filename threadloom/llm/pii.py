@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._arrow import slices, text_buffers
+from threadloom.llm._arrow import bounded_batches, give_back, slices, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -209,7 +209,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *rows], names=["id", "base", "spans"])
 
     span = "array<struct<kind:string,start:long,end:long>>"
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind_of}, base {span}, spans {span}").withColumnRenamed("id", id_col)
+    return bounded_batches(df.select(id_col, text_col)).mapInArrow(run, f"id {kind_of}, base {span}, spans {span}").withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -240,8 +240,9 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
                 null = part.column(at).is_null().to_pylist()
                 done = [None if n else redacted(t, find_all(t)[1]) for t, n in zip(texts, null)]
                 yield part.set_column(at, part.schema.field(at), pa.array(done, part.schema.field(at).type))
+            give_back()
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)
 
 
 def base_digest(text: str) -> str:

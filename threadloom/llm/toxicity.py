@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._arrow import slices, span_hashes, text_buffers
+from threadloom.llm._arrow import bounded_batches, give_back, slices, span_hashes, text_buffers
 from threadloom.llm._fold import folded
 from threadloom.llm.svm import linear_svm
 
@@ -41,7 +41,7 @@ LANDMARKS = 64
 #: Words whose largest kernel value is lower have none.
 NEAR = 0.4
 #: Words that a worker keeps kernel values of, and words it knows to have none.
-KEPT = 1_000_000
+KEPT = 400_000
 _LONGEST = 48
 _STEPS = [(j, k) for k in range(2, WINDOW) for j in range(1, k)]
 
@@ -336,7 +336,7 @@ def score(df: DataFrame, model: Model | float, threshold: float = 0.7, id_col: s
 
     kept = ", ".join(f"`__k{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     rows = df.select(F.col(text_col).alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
-    out = rows.mapInArrow(run, f"{kept}, score double, predicted int")
+    out = bounded_batches(rows).mapInArrow(run, f"{kept}, score double, predicted int")
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
 
 
@@ -352,8 +352,9 @@ def keep_clean(df: DataFrame, model: Model | float, threshold: float = 0.7, text
             held["white"] = _whitener(held["kernel"].gram)
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, held, batch.column(batch.schema.get_field_index(text_col))) < threshold))
+            give_back()
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)
 
 
 def _scores(model: Model | float, held: dict, column) -> np.ndarray:
