@@ -62,6 +62,29 @@ def test_deobfuscation_maps_back():
         assert pii.find_all(text)[1] == []
 
 
+def test_one_disguise_is_enough():
+    """Dots alone, and words among digits, with no other disguise in the text."""
+    cases = {
+        "write john.smith@example [dot] com now": ("email", "john.smith@example [dot] com"),
+        "write john@example[.]com now": ("email", "john@example[.]com"),
+        "host 192[.]168[.]1[.]20 up": ("ip", "192[.]168[.]1[.]20"),
+        "host 192 dot 168 dot 1 dot 20 up": ("ip", "192 dot 168 dot 1 dot 20"),
+        "host 192 dot 168 dot one dot 20 up": ("ip", "192 dot 168 dot one dot 20"),
+        "host 192.168.one.20 up": ("ip", "192.168.one.20"),
+        "write john at mail.example dot com now": ("email", "john at mail.example dot com"),
+        "write john at example [dot] com now": ("email", "john at example [dot] com"),
+        "call +49 one 5 one 7 two 3 four now": ("phone", "+49 one 5 one 7 two 3 four"),
+        "card 4111 1111 1111 11 one one end": ("card", "4111 1111 1111 11 one one"),
+        "in 2024, four one one one 1 1 1 1 1 1 1 1 1 1 1 1 end": ("card", "four one one one 1 1 1 1 1 1 1 1 1 1 1 1"),
+        "ip １.2.3.4 and one two three": ("ip", "１.2.3.4"),
+    }
+    for text, (kind, part) in cases.items():
+        a = text.index(part)
+        assert (kind, a, a + len(part)) in pii.find_all(text)[1], text
+    for text in ("a point made, one point in time", "see [.] and (dot) at 5 point 3", "look at example.com, at 10 dot 5"):
+        assert pii.find_all(text)[1] == [], text
+
+
 def test_frames(spark):
     texts = [None, "", "a@b.co and a [at] b [dot] co, 10.0.0.1", "same", "same"]
     df = spark.createDataFrame([(i if i != 3 else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")

@@ -2,10 +2,11 @@
 
 Base spans come from the patterns on the text as it is. Then transducers rewrite
 a text that shows signs of disguise (homoglyphs and full-width characters,
-invisible characters, digits spelled out, "at" and "dot" for the marks), keeping
-for each character written the span of the source it came from. The patterns run
-again on what was written, and their spans are mapped back. Those that overlap
-no base span of their kind are added; base spans stay as they are.
+invisible characters, digits spelled out, "at" and "dot" for the marks, each by
+itself), keeping for each character written the span of the source it came from.
+The patterns run again on what was written, and their spans are mapped back.
+Those that overlap no base span of their kind are added; base spans stay as they
+are.
 
 Spans are in code points, end exclusive. The patterns' loops are written so
 that they take time in proportion to the text, whatever it holds.
@@ -20,7 +21,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,20 +104,30 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]{{1,3}})?(?:{_NUMBER}|[0-9])(?:[ ,.-]{{1,3}}(?:{_NUMBER}|dot|point|punkt|punto|[0-9])(?!\w)){{3,}}")
-_SPELLED_SIGN = re.compile(rf"(?i)(?<!\w)(?:{_NUMBER})[ ,.-]{{1,3}}(?:{_NUMBER}|dot|point|punkt|punto)(?!\w)")
-_PIECE = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>dot|point|punkt|punto)|(?P<word>{_NUMBER})|(?P<digit>[0-9])")
-_AT = re.compile(r"(?i) ?(?:\[ ?at ?\]|\( ?at ?\)|\{ ?at ?\}|< ?at ?>|(?<=\w) at (?=[\w-]+ (?:dot|punkt|punto|point) \w)|(?<=\w)_at_(?=\w)) ?")
-_DOT = re.compile(r"(?i) ?(?:\[ ?(?:dot|punkt|punto|point|\.) ?\]|\( ?(?:dot|punkt|punto|point|\.) ?\)|\{ ?(?:dot|punkt|punto|point) ?\}|< ?(?:dot|punkt|punto|point) ?>|(?<=\w) (?:dot|punkt|punto|point) (?=\w)|(?<=\w)_dot_(?=\w)) ?")
-_AT_SIGN = re.compile(r"(?i)[\[({<] ?at ?[\])}>]|[\w] at [\w-]+ (?:dot|punkt|punto|point) |_at_")
+_DOT_WORD = "dot|punkt|punto|point"
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]{{1,3}})?(?:{_NUMBER}|[0-9])(?:[ ,.-]{{1,3}}(?:{_NUMBER}|{_DOT_WORD}|[0-9])(?!\w)){{3,}}")
+#: The same with whole numbers beside the words, and literal dots kept.
+_MIXED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]{{1,3}})?(?:{_NUMBER}|[0-9]++)(?:[ ,.-]{{1,3}}(?:{_NUMBER}|{_DOT_WORD}|[0-9]++)(?!\w)){{3,}}")
+_MIXED_SIGN = re.compile(rf"(?i)(?<!\w)(?:{_NUMBER})[ ,.-]{{1,3}}(?:{_NUMBER}|{_DOT_WORD}|[0-9])|[0-9][ ,.-]{{1,3}}(?:{_NUMBER}|{_DOT_WORD})(?!\w)")
+_PIECE = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>{_DOT_WORD})|(?P<word>{_NUMBER})|(?P<digit>[0-9])")
+_MIXED_PIECE = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>{_DOT_WORD}|(?<=\w)\.(?=\w))|(?P<word>{_NUMBER})|(?P<digit>[0-9])")
+_DOT_SHOWN = rf" ?(?:\[ ?(?:{_DOT_WORD}|\.) ?\]|\( ?(?:{_DOT_WORD}|\.) ?\)|\{{ ?(?:{_DOT_WORD}) ?\}}|< ?(?:{_DOT_WORD}) ?>|(?<=\w) (?:{_DOT_WORD}) (?=\w)|(?<=\w)_dot_(?=\w)) ?"
+_DOT = re.compile(f"(?i){_DOT_SHOWN}")
+# a bare "at" counts before a domain in which a dot is disguised
+_AT = re.compile(rf"(?i) ?(?:\[ ?at ?\]|\( ?at ?\)|\{{ ?at ?\}}|< ?at ?>|(?<=\w) at (?=[\w-]++(?:\.[\w-]++)*+{_DOT_SHOWN}\w)|(?<=\w)_at_(?=\w)) ?")
+#: In every text that _AT or _DOT changes, and cheaper to look for.
+_MARKED = re.compile(rf"(?i)[\[({{<] ?(?:at|{_DOT_WORD}|\.) ?[\])}}>]| (?:{_DOT_WORD}) |_(?:at|dot)_")
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "٠-٩۰-۹०-९⁰-ₜ①-⑨！-～\U0001d400-\U0001d7ff]")
 
 
 class Written:
     """A text being rewritten, and the source span of each of its characters."""
 
-    def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+    def __init__(self, text: str, start: Sequence[int] | None = None, end: Sequence[int] | None = None):
+        self.text, self.start, self.end = text, start or range(len(text)), end or range(1, len(text) + 1)
+
+    def copy(self) -> Written:
+        return Written(self.text, self.start, self.end)
 
     def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], list[tuple[str, int, int]]]) -> None:
         """Replaces each match by characters, each from a part (a, b) of it."""
@@ -132,7 +143,7 @@ class Written:
             last = m.end()
         if last:
             text.append(self.text[last:])
-            self.text, self.start, self.end = "".join(text), start + self.start[last:], end + self.end[last:]
+            self.text, self.start, self.end = "".join(text), [*start, *self.start[last:]], [*end, *self.end[last:]]
 
     def source(self, a: int, b: int) -> tuple[int, int]:
         return self.start[a], self.end[b - 1]
@@ -146,44 +157,61 @@ def _plain(m: re.Match) -> list[tuple[str, int, int]]:
     return [(shown if len(shown) == 1 and shown.isascii() else c, m.start(), m.end())]
 
 
-def _digits(m: re.Match) -> list[tuple[str, int, int]]:
+def _digits(piece: re.Pattern) -> Callable[[re.Match], list[tuple[str, int, int]]]:
     sign = {"plus": "+", "dot": "."}
-    return [(sign.get(p.lastgroup) or DIGIT_WORDS.get(p[0].lower(), p[0]), p.start(), p.end()) for p in _PIECE.finditer(m.string, m.start(), m.end())]
-
-
-def deobfuscated(text: str) -> Written | None:
-    """The text with disguises undone, or None if it shows none."""
-    odd = not text.isascii() and _ODD.search(text)
-    spelled, marked = _SPELLED_SIGN.search(text), _AT_SIGN.search(text)
-    if not (odd or spelled or marked):
-        return None
-    out = Written(text)
-    if odd:
-        out.rewrite(_ODD, _plain)
-        spelled, marked = _SPELLED_SIGN.search(out.text), _AT_SIGN.search(out.text)
-    if spelled:
-        out.rewrite(_SPELLED, _digits)
-    if marked:
-        one = lambda c: lambda m: [(c, m.start(), m.end())]
-        out.rewrite(_AT, one("@"))
-        out.rewrite(_DOT, one("."))
-    return out if out.text != text else None
+    return lambda m: [(sign.get(p.lastgroup) or DIGIT_WORDS.get(p[0].lower(), p[0]), p.start(), p.end()) for p in piece.finditer(m.string, m.start(), m.end())]
+
+
+def deobfuscated(text: str) -> list[Written]:
+    """The text with disguises undone, once for each reading of its numbers; none
+    if it shows no disguise. A reading is there where its pattern matches, so what
+    is found doesn't depend on other disguises in the text."""
+    plain = Written(text)
+    if not text.isascii() and _ODD.search(text):
+        plain.rewrite(_ODD, _plain)
+    out = {plain.text: plain} if plain.text != text else {}
+    readings = [()]
+    if _SPELLED.search(plain.text):
+        readings.append((_SPELLED, _digits(_PIECE)))
+    if _MIXED_SIGN.search(plain.text):
+        readings.append((_MIXED, _digits(_MIXED_PIECE)))
+    marked = _MARKED.search(plain.text)
+    one = lambda c: lambda m: [(c, m.start(), m.end())]
+    for reading in readings:
+        if not (reading or marked):
+            continue
+        new = plain.copy()
+        if reading:
+            new.rewrite(*reading)
+        if marked:
+            new.rewrite(_AT, one("@"))
+            new.rewrite(_DOT, one("."))
+        if new.text != text:
+            out.setdefault(new.text, new)
+    return list(out.values())
 
 
 def find_all(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, by kind, then start."""
     base = find(text)
-    out = deobfuscated(text)
-    if out is None:
-        return base, base
-    more = {kind: [] for kind in KINDS}
+    more = {kind: set() for kind in KINDS}
     known = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
-    for kind, a, b in find(out.text):
-        a, b = out.source(a, b)
-        at = bisect_right(known[kind], (a, a))
-        if (at == 0 or known[kind][at - 1][1] <= a) and (at == len(known[kind]) or b <= known[kind][at][0]):
-            more[kind].append((a, b))
-    return base, [(kind, a, b) for kind in KINDS for a, b in sorted(known[kind] + more[kind])]
+    for out in deobfuscated(text):
+        for kind, a, b in find(out.text):
+            a, b = out.source(a, b)
+            at = bisect_right(known[kind], (a, a))
+            if (at == 0 or known[kind][at - 1][1] <= a) and (at == len(known[kind]) or b <= known[kind][at][0]):
+                more[kind].add((a, b))
+    return base, [(kind, a, b) for kind in KINDS for a, b in sorted([*known[kind], *_widest(more[kind])])]
+
+
+def _widest(spans: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those inside no other one."""
+    last = 0
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if b > last:
+            yield a, b
+            last = b
 
 
 def _joined(spans: list[Span]) -> str:
