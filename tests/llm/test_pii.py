@@ -85,6 +85,20 @@ def test_one_disguise_is_enough():
         assert pii.find_all(text)[1] == [], text
 
 
+def test_wider_spans_are_added_beside_base_spans():
+    for text, base, wide, masked in (
+        ("to jоhn@example.com now", "hn@example.com", "jоhn@example.com", "to <EMAIL> now"),
+        ("a (at) b and jane@mail.example (dot) com now", "jane@mail.example", "jane@mail.example (dot) com", "a (at) b and <EMAIL> now"),
+        ("to john [dot] smith@example.com now", "smith@example.com", "john [dot] smith@example.com", "to <EMAIL> now"),
+    ):
+        spans = [("email", text.index(x), text.index(x) + len(x)) for x in (base, wide)]
+        got = pii.find_all(text)
+        assert got == (spans[:1], sorted(spans)), text
+        assert pii.redacted(text, got[1]) == masked
+    text = "a@b.co one two three, 10.0.0.1 [dot]"
+    assert pii.find_all(text)[1] == pii.find(text)
+
+
 def test_frames(spark):
     texts = [None, "", "a@b.co and a [at] b [dot] co, 10.0.0.1", "same", "same"]
     df = spark.createDataFrame([(i if i != 3 else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")

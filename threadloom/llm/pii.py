@@ -5,8 +5,8 @@ a text that shows signs of disguise (homoglyphs and full-width characters,
 invisible characters, digits spelled out, "at" and "dot" for the marks, each by
 itself), keeping for each character written the span of the source it came from.
 The patterns run again on what was written, and their spans are mapped back.
-Those that overlap no base span of their kind are added; base spans stay as they
-are.
+Those that are inside no base span of their kind and no other added one are
+added, wider ones around a base span too; base spans stay as they are.
 
 Spans are in code points, end exclusive. The patterns' loops are written so
 that they take time in proportion to the text, whatever it holds.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -194,24 +193,22 @@ def deobfuscated(text: str) -> list[Written]:
 def find_all(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, by kind, then start."""
     base = find(text)
-    more = {kind: set() for kind in KINDS}
     known = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
+    more = {kind: set() for kind in KINDS}
     for out in deobfuscated(text):
         for kind, a, b in find(out.text):
-            a, b = out.source(a, b)
-            at = bisect_right(known[kind], (a, a))
-            if (at == 0 or known[kind][at - 1][1] <= a) and (at == len(known[kind]) or b <= known[kind][at][0]):
-                more[kind].add((a, b))
-    return base, [(kind, a, b) for kind in KINDS for a, b in sorted([*known[kind], *_widest(more[kind])])]
+            more[kind].add(out.source(a, b))
+    return base, [(kind, a, b) for kind in KINDS for a, b in sorted([*known[kind], *_outside(more[kind], known[kind])])]
 
 
-def _widest(spans: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Those inside no other one."""
-    last = 0
-    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+def _outside(spans: set[tuple[int, int]], base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of ``spans`` that are not in ``base``, and inside no other span."""
+    last, held = 0, set(base)
+    for a, b in sorted(spans | held, key=lambda s: (s[0], -s[1])):
         if b > last:
-            yield a, b
             last = b
+            if (a, b) not in held:
+                yield a, b
 
 
 def _joined(spans: list[Span]) -> str:
