@@ -83,6 +83,37 @@ def test_components_closure_terminals(spark):
     assert {r.component for r in graph.components(edges.toDF("a", "b")).collect()} == {0, 100}
 
 
+def test_closure_goes_to_the_end(spark):
+    n = 2500
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(9000 + i, 9000 + (i + 1) % 7) for i in range(7)], "src long, dst long")
+    got = primitives.closure(edges, spark.createDataFrame([(0,), (0,), (700,), (9000,), (9999,)], "node long")).groupBy("node").agg(F.count("*").alias("n"), F.max("reached").alias("last")).collect()
+    assert {r.node: (r.n, r["last"]) for r in got} == {0: (n + 1, n), 700: (n - 699, n), 9000: (7, 9006), 9999: (1, 9999)}
+
+
+def test_closure_against_search(spark):
+    rnd = random.Random(5)
+    pairs = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(75)}
+    want = set()
+    for s in range(0, 60, 3):
+        reached, todo = {s}, [s]
+        while todo:
+            at = todo.pop()
+            more = {b for a, b in pairs if a == at} - reached
+            reached |= more
+            todo += more
+        want |= {(s, r) for r in reached}
+    got = primitives.closure(spark.createDataFrame(sorted(pairs), "src long, dst long"), spark.createDataFrame([(s,) for s in range(0, 60, 3)], "node long")).collect()
+    assert len(got) == len(want) and {(r.node, r.reached) for r in got} == want
+
+
+def test_fixpoint_raises_at_its_guard(spark):
+    step = lambda f: f.where("x < 9").select((F.col("x") + 1).alias("x"))
+    seed = spark.createDataFrame([(0,)], "x long")
+    assert primitives.fixpoint(seed, step, ["x"], limit=9).count() == 10
+    with pytest.raises(RuntimeError):
+        primitives.fixpoint(seed, step, ["x"], limit=8)
+
+
 def test_interval_join_against_all_pairs(spark):
     rnd = random.Random(3)
     left = [(i, s, s + rnd.randint(0, 90)) for i, s in enumerate(rnd.sample(range(1000), 80))]

@@ -57,25 +57,38 @@ def interval_join(left: DataFrame, right: DataFrame, bucket: int, on: Sequence[s
     return le.join(ri, ["__b", *on]).where(meet & (F.floor(F.greatest("l_start", "r_start") / bucket) == F.col("__b"))).drop("__b")
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str], limit: int = 1000) -> DataFrame:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str], limit: int | None = None) -> DataFrame:
     """All rows reachable from ``seed`` by ``step``, each once; cycles end, since
-    rows already seen don't come again. One written frontier for each round."""
+    rows already seen don't come again. One written frontier for each round; an
+    error where there are more than ``limit`` rounds."""
     seen = checkpointed(seed.select(*keys).distinct())
-    parts, frontier = [seen], seen
-    for _ in range(limit):
+    frontier, rounds = seen, 0
+    while True:
         frontier = checkpointed(step(frontier).select(*keys).distinct().join(seen, list(keys), "left_anti"))
         if frontier.isEmpty():
-            break
-        parts.append(frontier)
+            return seen
+        rounds += 1
+        if limit is not None and rounds > limit:
+            raise RuntimeError(f"no fixpoint after {limit} rounds")
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def closure(edges: DataFrame, seed: DataFrame) -> DataFrame:
     """(node, reached): everything reachable along ``edges`` (src, dst), the node
-    itself included, by set semantics. ``seed``: nodes."""
-    start = seed.select(F.col("node"), F.col("node").alias("reached"))
-    return fixpoint(start, lambda f: f.join(edges, f["reached"] == edges["src"]).select("node", F.col("dst").alias("reached")), ["node", "reached"])
+    itself included, by set semantics. ``seed``: nodes. Round k adds what is 2^k
+    hops from what is held, so rounds follow the logarithm of the depth; they end
+    when one adds nothing. Hops of one length are as many as edges at most in
+    chains, forests and cycles; graphs with many ways between nodes have more."""
+    keys = ["node", "reached"]
+    seen = checkpointed(seed.select("node", F.col("node").alias("reached")).distinct())
+    hops = checkpointed(edges.select(F.col("src").alias("reached"), F.col("dst").alias("next")).distinct())
+    while True:
+        new = checkpointed(seen.join(hops, "reached").select("node", F.col("next").alias("reached")).distinct().join(seen, keys, "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+        on = hops.select(F.col("reached").alias("next"), F.col("next").alias("end"))
+        hops = checkpointed(hops.join(on, "next").select("reached", F.col("end").alias("next")).distinct())
 
 
 def terminals(forest: DataFrame) -> DataFrame:
