@@ -42,6 +42,21 @@ def test_templates_and_slots(spark):
     assert {d for d, _ in got} == {10, 11, 13, 18, 19, None} | ({15} if (15, 2) in got else set())
 
 
+def test_equal_values_and_longer_names(spark):
+    docs = [
+        (20, "so Alice has 7 apples and gives 3 apples to Bob before Alice walks 3 km home, then"),
+        (21, "so Mary Ann has 7 apples and gives 3 apples to Bob before Mary Ann walks 3 km home, then"),
+        (22, "so Mary Ann has 7 apples and gives 3 apples to Bob before Mary Jo walks 3 km home, then"),
+        (23, "Then Alice has 5 apples and gives 2 apples to Bob before Alice walks 3 km home."),
+        (24, "Otto Meier told Mary Ann"),
+    ]
+    names = [(7, "Alice Smith"), (8, "Mary Ann Meier has 4 cats and Mary Ann Meier has 5 dogs")]
+    more = [(25, "Ina has 3 cats and Ina has 3 dogs")]
+    got = run(spark, docs + more, ITEMS[:1] + names)
+    assert got[20, 1] == got[21, 1] == (1.0, True) and got[23, 1] == (1.0, False)
+    assert (22, 1) not in got and got[25, 8] == (1.0, True)
+
+
 def test_blocks_and_nothing(spark, monkeypatch):
     docs = [(1, ITEMS[0][1]), (2, ITEMS[1][1])]
     monkeypatch.setattr(D, "BLOCK_WORDS", 8)

@@ -9,11 +9,13 @@ looked up in the benchmark's hash table; a document never moves, only its few
 matches leave the task.
 
 For a document and an item with matches, slots are then checked: the values in
-an item's slots must map to the document's one to one (a name that stands twice
-in the item is one name in the document, and so on). Windows whose slots contradict
+an item's slots must each map to one of the document's (a name that stands twice
+in the item is one name in the document, and so on; two values of the item may
+have become the same). Windows whose slots contradict
 another slot of the same alignment, or the mapping of a longer alignment, don't
 count. The item is found in the document if at least ``share`` of its windows
-are matched consistently.
+are matched consistently. An item not found so is looked for once more with each
+run of names as one name in both texts, if it has a whole window then.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words, one pass
 over the documents for each, so what is broadcast has a fixed bound.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +70,8 @@ _alnum[65:91] = _alnum[97:123] = True
 _alnum[128:] = True
 _mark = np.zeros(256, bool)
 _mark[[ord(c) for c in ".,:/"]] = True
+_joins = np.zeros(256, bool)
+_joins[[ord(c) for c in " -'"]] = True
 
 
 class Words:
@@ -108,7 +113,19 @@ class Words:
         shouted = (low[second] != data[second]) | ((data[second] >= 0xC2) & (low[np.minimum(second + 1, max(n - 1, 0))] != data[np.minimum(second + 1, max(n - 1, 0))]))
         long = self.end - s > np.where(two, 2, 1)
         self.kind[(self.kind == _WORD) & capital & long & ~shouted] = _NAME
-        self._data = data
+        self._data, self._low = data, low
+
+    def merged(self) -> Words:
+        """The same words with each run of names as one name."""
+        out, n = copy(self), len(self.start)
+        inner = np.zeros(n, bool)
+        inner[1:] = (self.kind[1:] == _NAME) & (self.kind[:-1] == _NAME) & (self.start[1:] == self.end[:-1] + 1)
+        inner[1:] &= _joins[self._data[np.minimum(self.end[:-1], max(len(self._data) - 1, 0))]]
+        inner[self.first[:-1][self.first[:-1] < n]] = False
+        out.start, out.end, out.kind = self.start[~inner], self.end[np.append(~inner, True)[1:]], self.kind[~inner]
+        out.first = np.concatenate([[0], np.cumsum(~inner)])[self.first]
+        out.hash = span_hashes(self._low, out.start, out.end)
+        return out
 
     def text(self, i: int) -> str:
         return self._data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace").casefold()
@@ -137,13 +154,16 @@ class Words:
 
 
 class Index:
-    """Window hashes of some benchmark items."""
+    """Window hashes of some benchmark items; ``merged``: with runs of names as
+    one, of those that have k words then."""
 
-    def __init__(self, items: list[tuple[object, str]], k: int):
+    def __init__(self, items: list[tuple[object, str]], k: int, merged: bool = False):
         raw, offs = text_buffers(pa.array([t for _, t in items], pa.string()))
-        self.words, self.ids, self.k = Words(raw, offs), [i for i, _ in items], k
+        self.words, self.ids, self.k, self.merged = Words(raw, offs), [i for i, _ in items], k, merged
+        if merged:
+            self.words = self.words.merged()
         count = np.diff(self.words.first)
-        self.lengths = sorted({min(k, int(c)) for c in count if c})
+        self.lengths = sorted({min(k, int(c)) for c in count if c >= (k if merged else 1)})
         self.total = np.maximum(count - k + 1, np.minimum(count, 1))
         of = np.repeat(np.arange(len(items)), count)
         tables = []
@@ -170,7 +190,11 @@ class Index:
 
     def found(self, words: Words, pairs: list[tuple[int, int, int]], item: int) -> tuple[float, bool]:
         """The share of the item's windows matched with consistent slots, and
-        whether some slot's value differs."""
+        whether some slot's value differs. Slots one to one come first, since then
+        an alignment of chance takes no slots; the larger share counts."""
+        return max((self._share(words, pairs, item, strict) for strict in (True, False)), key=lambda x: x[0])
+
+    def _share(self, words: Words, pairs: list[tuple[int, int, int]], item: int, strict: bool) -> tuple[float, bool]:
         lines: dict[int, list] = defaultdict(list)  # matches on one alignment
         for w, x, size in pairs:
             own = [(int(self.words.kind[x + j]), self.words.text(x + j), words.text(w + j)) for j in range(size) if self.words.kind[x + j] != _WORD]
@@ -182,7 +206,8 @@ class Index:
             mapped = {slot for _, _, own in matched for slot in own}
             one_to, one_back = Counter((kind, a) for kind, a, _ in mapped), Counter((kind, b) for kind, _, b in mapped)
             for x, size, own in matched:
-                if all(one_to[kind, a] == 1 == one_back[kind, b] and to.get((kind, a), b) == b and back.get((kind, b), a) == a for kind, a, b in own):
+                single = not strict or all(one_back[kind, b] == 1 and back.get((kind, b), a) == a for kind, a, b in own)
+                if single and all(one_to[kind, a] == 1 and to.get((kind, a), b) == b for kind, a, b in own):
                     kept.add((x, size))
                     changed |= any(a != b for _, a, b in own)
                     for kind, a, b in own:
@@ -215,21 +240,29 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator
         yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).collect()]
 
 
-def _found(index: Index, column, share: float) -> list[tuple[int, object, float, bool]]:
+def _indexes(items: list, k: int) -> list[Index]:
+    return [Index(items, k), Index(items, k, merged=True)]
+
+
+def _found(indexes: list[Index], column, share: float) -> list[tuple[int, object, float, bool]]:
     """(row, item id, share, changed) of a batch's texts."""
     raw, offs = text_buffers(column)
     rows = []
     for a, b in slices(offs):
-        words = Words(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-        by = defaultdict(list)
-        for w, x, size in index.matches(words):
-            text = int(np.searchsorted(words.first, w, side="right")) - 1
-            by[text, int(np.searchsorted(index.words.first, x, side="right")) - 1].append((w, x, size))
-        for (text, item), pairs in by.items():
-            if len({x for _, x, _ in pairs}) >= share * int(index.total[item]):
-                got, changed = index.found(words, pairs, item)
-                if got >= share:
-                    rows.append((a + text, index.ids[item], got, changed))
+        plain = Words(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        done = set()
+        for index in indexes:
+            words = plain.merged() if index.merged else plain
+            by = defaultdict(list)
+            for w, x, size in index.matches(words):
+                text = int(np.searchsorted(words.first, w, side="right")) - 1
+                by[text, int(np.searchsorted(index.words.first, x, side="right")) - 1].append((w, x, size))
+            for (text, item), pairs in by.items():
+                if (text, item) not in done and len({x for _, x, _ in pairs}) >= share * int(index.total[item]):
+                    got, changed = index.found(words, pairs, item)
+                    if got >= share:
+                        done.add((text, item))
+                        rows.append((a + text, index.ids[item], got, changed))
     return rows
 
 
@@ -239,7 +272,7 @@ def _without(docs: DataFrame, items: list, k: int, share: float, text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "index" not in held:
-            held["index"] = Index(*shared.value)
+            held["index"] = _indexes(*shared.value)
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             clean[[r[0] for r in _found(held["index"], batch.column(batch.schema.get_field_index(text_col)), share)]] = False
@@ -255,7 +288,7 @@ def _pass(docs: DataFrame, items: list, k: int, share: float, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "index" not in held:
-            held["index"] = Index(*shared.value)
+            held["index"] = _indexes(*shared.value)
         for batch in batches:
             rows = _found(held["index"], batch.column(1), share)
             at, item, got, changed = zip(*rows) if rows else ([], [], [], [])
