@@ -48,6 +48,22 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert [got[i] for i in range(len(got))] == [f"random:4:{4 + len(s)}" for s in secret] + [""] * len(plain)
 
 
+def test_context_does_not_hide_random_strings(spark):
+    rnd = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = []
+    for n in (20, 32):
+        for before, after in (("session_id=", ""), ("/services/user/default/config/", ""), ("client_request_session_key=", ""), ("/config/", "/default/user/services")):
+            rows += [(before, "".join(rnd.choice(alphabet) for _ in range(n)), after) for _ in range(50)]
+    rows.append(("/services/user/default/config/", "x8Kq2ZrT9_1bVnW4mYp0-LsD7cHfJ3aE", ""))
+    df = spark.createDataFrame([(i, f"see {a}{s}{b} here") for i, (a, s, b) in enumerate(rows)], "doc_id long, text string")
+    model = secrets.train(secrets.labelled_samples(spark))
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(df, model)).collect()}
+    covers = lambda spans, a, b: any(int(x.split(":")[1]) <= a and b <= int(x.split(":")[2]) for x in spans.split(",") if x.startswith("random"))
+    ok = [covers(got[i], 4 + len(a), 4 + len(a) + len(s)) for i, (a, s, b) in enumerate(rows)]
+    assert ok[-1] and all(sum(ok[k : k + 50]) >= 45 for k in range(0, 400, 50)), [sum(ok[k : k + 50]) for k in range(0, 400, 50)]
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in queries.table(spark, sf_dir, "documents").collect()}
     rows = queries.op7_secret_scan(spark, sf_dir).collect()

@@ -123,16 +123,40 @@ def log_ratio(string: Column, model: list[float]) -> Column:
 
 def random_spans(text: Column, model: list[float]) -> Column:
     """Spans of strings that the models call random: of mixed characters only,
-    with a digit and a letter."""
+    with a digit and a letter. A string is random as a whole, or else a stretch of
+    its pieces between the marks = / _ - is, none of which looks ordinary by
+    itself (a word, or by its ratio): a name or path beside a random stretch doesn't count against it."""
 
-    def keep(m: Column) -> Column:
+    def one(m: Column) -> Column:
         ratio = log_ratio(m, model)
         shaped = F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]"))
         return F.when(shaped, (ratio >= TOTAL) & (ratio >= EACH * F.length(m))).otherwise(False)
 
+    span = lambda a, b: F.array(F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))).cast(SPANS)
+    closed = lambda s: F.when(s["start"] >= 0, F.concat(s["spans"], span(s["start"], s["end"]))).otherwise(s["spans"])
+
+    def step(s: Column, x: Column) -> Column:
+        fits, end = x["fits"], s["at"] + x["n"]
+        begins = (s["start"] < 0) & fits & (x["n"] > 0)
+        return F.struct(
+            (end + 1).alias("at"), F.when(begins, s["at"]).when(fits, s["start"]).otherwise(F.lit(-1)).alias("start"),
+            F.when(fits & (x["n"] > 0), end).otherwise(s["end"]).alias("end"), F.when(fits, s["spans"]).otherwise(closed(s)).alias("spans"),
+        )
+
+    def stretches(m: Column) -> Column:
+        pieces = F.transform(F.split(m, "[=/_-]", -1), lambda x: F.struct(F.length(x).alias("n"), ((x == "") | (F.rlike(x, F.lit("[0-9]|[a-z][A-Z]|[A-Z]{2}")) & (log_ratio(x, model) >= EACH * F.length(x)))).alias("fits")))
+        zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("start"), F.lit(0).alias("end"), _no_spans().alias("spans"))
+        return F.filter(F.aggregate(pieces, zero, step, closed), lambda s: F.when(s["end"] - s["start"] >= LEAST, one(F.substring(m, s["start"] + 1, s["end"] - s["start"]))).otherwise(False))
+
+    def found(run: Column) -> Column:
+        m = F.substring(text, run["start"] + 1, run["end"] - run["start"])
+        moved = F.transform(stretches(m), lambda s: F.struct((s["start"] + run["start"]).alias("start"), s["kind"].alias("kind"), (s["end"] + run["start"]).alias("end")))
+        return F.when(one(m), F.array(run)).when(F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[=/_-]")), moved).otherwise(_no_spans())
+
     # LEAST characters in a row with a digit among them; looks no further
     sign = F.rlike(text, F.lit(r"(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z+/_=-]{0,%d}[0-9]" % (LEAST, LEAST - 1)))
-    return F.coalesce(F.when(sign, _matches(text, r"[A-Za-z0-9+/_=-]{%d,}" % LEAST, 3, keep)), _no_spans())
+    runs = _matches(text, r"[A-Za-z0-9+/_=-]{%d,}" % LEAST, 3, lambda m: F.rlike(m, F.lit("[0-9]")))
+    return F.coalesce(F.when(sign, F.flatten(F.transform(runs, found))), _no_spans())
 
 
 def find_secrets(df: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
