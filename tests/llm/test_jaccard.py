@@ -74,7 +74,7 @@ def test_against_all_pairs(spark, k, pct):
 
 def test_large_families_of_near_copies(spark, monkeypatch):
     rnd = random.Random(9)
-    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "TILE", 32)
     rows = []
     for f in range(3):
         base = [f"f{f}w{i}" for i in range(70)]

@@ -1,37 +1,37 @@
 """N-gram Jaccard self-join with grouped prefixes, to exact components.
 
 1. One scan gives each text its number of distinct shingles, a 128-bit
-   fingerprint of the set and a parity bitmap, and counts shingles in a sketch
-   of fixed size. Texts with equal sets are one class from here on.
-2. Shingles have one total order, rare before frequent by the sketch, then by
-   hash. A second scan takes each class's prefix. If two sets are similar
-   enough their prefixes meet. Classes with the same prefix and size are one
-   group, and only groups are posted under the prefix's shingles.
+   fingerprint of the set and a parity bitmap, and counts shingles in a sketch.
+   Texts with equal sets are one class from here on.
+2. Shingles have one total order: by the level of their counter in the sketch
+   (rare first), then by hash. A second scan takes each class's prefix. If two
+   sets are similar enough, their prefixes meet. Classes with the same prefix and
+   size are one group, and only groups are posted under the prefix's shingles.
 3. Every group finds the group of near size that it shares most prefix shingles
-   with; that pair is verified on whole sets. Linked classes hang on roots.
-   This takes as many pairs as there are classes, however large a family of
-   near copies is.
-4. For each shingle, only the different roots posted there are paired. Pairs
-   are filtered by size, by position in the prefix, and by the bitmaps; the
-   roots left are verified, and if the distance between two roots, less the
-   distances of their members from them, could hide a link between members
-   (Jaccard distance is a metric), those members are paired and verified.
-   Where more than CROWD roots meet, joining all would take the square of their
-   number; there members are compared by bitmap, first only likeliest partners
-   are verified and linked roots become one, and then what is left.
-5. Components of all verified links are the answer. A pair of linked texts is
-   either verified, or both are under one root, or filtered by a bound that
-   proves there is no link; so no component is lost.
+   with; that pair of groups is filtered and verified on whole sets of their
+   first members, and the other members of a group on its first one. That makes as
+   many pairs as there are classes, however large a family of near copies is.
+   Linked classes are one family from here on.
+4. Groups under a shingle where several families still meet are expanded to
+   members, which are compared by size, position and bitmap where they stand;
+   members of one family aren't paired. Twice, each member has only its likeliest
+   partner verified, and families that are linked become one; then every pair
+   that the bounds let through and that wasn't verified is.
+
+Any two linked texts end in one family: a pair is verified, or already in one
+family, or filtered by a bound that proves there is no link.
 
 Verification compares whole sets of 64-bit shingle hashes. Texts of classes in
 pairs are sent to their partner's task in sorted order, hot partners dealt over
-several tasks. Nothing that grows with the documents is collected or broadcast,
-except behind a count (``BROADCAST_IDS``).
+several tasks. A shingle with many members is cut into tiles of TILE members, and
+each pair of tiles is compared in a task of its own. Nothing that grows with the
+documents is collected or broadcast: the driver sees HEAVY counters at most.
 
 Defined results: null or empty text has no shingles and is linked with nothing.
 Rows are nodes: repeated rows are linked, rows with the same id but other texts
 only if their texts are. The component of a row whose id is null is the
-smallest id of its links, or null. Other columns are ignored.
+smallest id of its links, or null. Ids may have any type with an order. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,17 +49,19 @@ from threadloom.llm._arrow import bounded_batches, give_back, mix64, slices, tex
 from threadloom.llm.components import components
 from threadloom.llm.shingles import shingle_sets
 
-#: Counters of the sketch that orders shingles, and bytes of a bitmap.
-SKETCH = 1 << 20
-BITMAP = 64
-#: Up to so many ids go to all tasks (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Counters of the sketch in a task; a counter is reported from OFTEN on, and so
+#: many of the heaviest have levels of their own. They only order shingles: with
+#: others, the result is the same.
+SKETCH = 1 << 22
+OFTEN = 3
+HEAVY = 1 << 18
+#: 64-bit words of a bitmap.
+BITMAP = 8
+BITS = [f"b{i}" for i in range(BITMAP)]
 #: A partner with more pairs than this is dealt over several tasks.
 SALT_PAIRS = 256
-#: Under a shingle with more roots than this, members are compared by bitmap in
-#: one task for each shingle (100 bytes a member) instead of joined.
-CROWD = 16
-_CHUNKS = 16
+#: Members of a tile: two tiles of about 100 bytes a member are compared at once.
+TILE = 2048
 
 
 def _at_least(n: np.ndarray, pct: int) -> np.ndarray:
@@ -83,84 +84,93 @@ def _sum_by(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         return total[at[1:]] - total[at[:-1]]
 
 
-def _class_ids(values: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over a set: its class and the check of it."""
+def _class_ids(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a set, as two sums over its members."""
     with np.errstate(over="ignore"):
-        one = _sum_by(mix64(values + np.uint64(seed * 2 + 1)), at)
-        two = _sum_by(mix64(values ^ np.uint64(0x5851F42D4C957F2D + seed)), at)
+        one = _sum_by(mix64(values + np.uint64(1)), at)
+        two = _sum_by(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), at)
     return mix64(one).view(np.int64), two.view(np.int64)
 
 
-def _bitmaps(values: np.ndarray, at: np.ndarray) -> pa.Array:
+def _bitmaps(values: np.ndarray, at: np.ndarray) -> list[pa.Array]:
     """Parity bits: bit h is set if an odd number of shingles have hash h."""
-    bits = 8 * BITMAP
+    bits = 64 * BITMAP
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    cell = row * bits + (values >> np.uint64(20)).astype(np.int64) % bits
+    cell = row * bits + (values >> np.uint64(24)).astype(np.int64) % bits
     odd = (np.bincount(cell, minlength=(len(at) - 1) * bits) & 1).astype(np.uint8)
-    return _longs(np.packbits(odd))
+    words = np.frombuffer(np.packbits(odd).tobytes(), np.int64).reshape(-1, BITMAP)
+    return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(BITMAP)]
 
 
-def _longs(data: np.ndarray, each: int = BITMAP // 8) -> pa.Array:
-    """Bytes as lists of ``each`` longs."""
-    flat = np.frombuffer(data.tobytes(), np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, each), pa.int32()), pa.array(flat))
+class _Fresh:
+    """Marks the first row of each non-empty class in a task; its memory is
+    bounded, so a class may be marked again much later, which is only repeated."""
 
+    def __init__(self) -> None:
+        self.seen = np.zeros(0, np.int64)
 
-def _profile(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """Kind 0: id, class, check, n, bitmap of each row; kind 1: a partition's
-    sketch in chunks."""
+    def __call__(self, c1: np.ndarray, n: np.ndarray) -> np.ndarray:
+        first = np.zeros(len(c1), bool)
+        first[np.unique(c1, return_index=True)[1]] = True
+        take = np.flatnonzero(first & (n > 0) & ~np.isin(c1, self.seen))
+        self.seen = np.concatenate([self.seen, c1[take]])[-200_000:]
+        return take
+
+
+def _profile(docs: DataFrame, k: int) -> DataFrame:
+    """Kind 0: id, locator, class, n and bitmap of each row; kind 1: a counter
+    of the sketch (in ``c1``) and its count (in ``n``) in one task."""
+    names = ["kind", "id", "rk", "rk2", "c1", "c2", "n", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, part = np.zeros(SKETCH, np.int64), TaskContext.get().partitionId()
-        names = ["kind", "id", "rk", "cid", "chk", "n", "bits"]
-        for some, values, at in _sets(batches, 2, k):
-            sketch += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            cid, chk = _class_ids(values, at, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cid), np.int32)), some.column(0), some.column(1), *map(pa.array, (cid, chk, np.diff(at))), _bitmaps(values, at)], names=names)
-        chunk, none = np.arange(_CHUNKS), pa.nulls(_CHUNKS, pa.int64())
-        counts = _longs(np.minimum(sketch, 65535).astype("<u2"), SKETCH // _CHUNKS // 4)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(_CHUNKS, np.int32)), none, none, pa.array(chunk), pa.array(chunk * 0 + part), pa.array(chunk * 0), counts], names=names)
-
-    return written(docs.mapInArrow(run, "kind int, id long, rk long, cid long, chk long, n long, bits array<long>"))
-
-
-def _merged_sketch(profile: DataFrame) -> np.ndarray:
-    """Sums the partitions' sketches in a tree of at most 64 at once."""
-    parts = profile.where("kind = 1").select(F.col("cid").alias("chunk"), F.col("chk").alias("part"), "bits")
-
-    def add(key, table):
-        total = np.zeros(SKETCH // _CHUNKS, np.int64)
-        for x in table.column("bits"):
-            x = x.values.to_numpy()
-            total += x if len(x) == len(total) else x.view("<u2")
-        return pa.table({"chunk": [key[0].as_py()], "part": [key[1].as_py()], "bits": pa.array([total], pa.list_(pa.int64()))})
-
-    most = (parts.agg(F.max("part")).head()[0] or 0) + 1
-    while True:
-        parts = parts.withColumn("part", F.floor(F.col("part") / 64)).groupBy("chunk", "part").applyInArrow(add, "chunk long, part long, bits array<long>")
-        most = math.ceil(most / 64)
-        if most <= 1:
+        sketch, fresh, id_type = np.zeros(SKETCH, np.int32), _Fresh(), None
+        for some, values, at in _sets(batches, 3, k):
+            c1, c2 = _class_ids(values, at)
+            n = np.diff(at)
+            keep = np.zeros(len(n), bool)
+            keep[fresh(c1, n)] = True
+            np.add.at(sketch, (values[np.repeat(keep, n)] & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            id_type = some.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), *some.columns[:3], *map(pa.array, (c1, c2, n)), *_bitmaps(values, at)], names=names)
+        often = np.flatnonzero(sketch >= OFTEN)
+        for a in range(0, len(often), 1 << 16):
+            i = often[a : a + (1 << 16)]
+            none, zero = pa.nulls(len(i), id_type), pa.array(np.zeros(len(i), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), none, zero, zero, pa.array(i), zero, pa.array(sketch[i].astype(np.int64)), *[zero] * BITMAP], names=names)
+
+    kept = docs.schema["id"].dataType.simpleString()
+    return written(docs.mapInArrow(run, f"kind int, id {kept}, rk long, rk2 long, c1 long, c2 long, n long, " + ", ".join(f"{b} long" for b in BITS)))
+
+
+def _levels(profile: DataFrame) -> np.ndarray:
+    """For each counter of the sketch 0, or the level of its count (four to a
+    doubling) if it is among the HEAVY heaviest levels."""
+    counts = profile.where("kind = 1").groupBy(F.col("c1").alias("i")).agg(F.sum("n").alias("n"))
+    counts = written(counts.select("i", F.least(F.lit(255), F.floor(4 * F.log2("n"))).cast("int").alias("level")))
+    spread = sorted(((r.level, r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True)
+    lowest, total = 256, 0
+    for level, many in spread:
+        total += many
+        if total > HEAVY:
             break
-        parts = written(parts)
-    rows = {r.chunk: r.bits for r in parts.collect()}  # SKETCH counters, whatever the input
-    return np.concatenate([np.array(rows[c], np.int64) for c in range(_CHUNKS)]) if rows else np.zeros(SKETCH, np.int64)
+        lowest = level
+    out = np.zeros(SKETCH, np.uint8)
+    heavy = counts.where(F.col("level") >= lowest).toArrow()
+    out[heavy.column("i").to_numpy()] = heavy.column("level").to_numpy()
+    return out
 
 
-def _postings(docs: DataFrame, k: int, pct: int, seed: int, levels: np.ndarray) -> DataFrame:
-    """Kind 1: (token, gid, n, pos) of each group's prefix; kind 0: (cid in
-    ``token``, gid, n)."""
+def _postings(docs: DataFrame, k: int, pct: int, levels: np.ndarray) -> DataFrame:
+    """Kind 1: (token, gid, n, pos) of each group's prefix; kind 0: a class (in
+    ``token`` and ``c2``) and its group."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = shared.value, np.zeros(0, np.int64)
+        level, fresh = shared.value, _Fresh()
         for _, values, at in _sets(batches, 0, k):
-            cid, _ = _class_ids(values, at, seed)
+            c1, c2 = _class_ids(values, at)
             n = np.diff(at)
-            fresh = (n > 0) & ~np.isin(cid, seen)
-            first = np.zeros(len(cid), bool)
-            first[np.unique(cid, return_index=True)[1]] = True
-            take = np.flatnonzero(fresh & first)
-            seen = np.concatenate([seen, cid[take]])[-200_000:]  # the rest is only repeated, not wrong
+            take = fresh(c1, n)
             if not len(take):
                 continue
             text = np.repeat(np.arange(len(n)), n)
@@ -173,310 +183,229 @@ def _postings(docs: DataFrame, k: int, pct: int, seed: int, levels: np.ndarray)
             token = values[order[at[:-1][take][doc] + pos]]
             with np.errstate(over="ignore"):
                 group = mix64(_sum_by(mix64(token + (pos.astype(np.uint64) << np.uint64(32))), np.concatenate([[0], ends])) + n[take].astype(np.uint64)).view(np.int64)
-            for kind, columns in ((0, (cid[take], group, n[take], np.zeros(len(take), np.int64))), (1, (token.view(np.int64), group[doc], n[take][doc], pos))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns[:2]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], names=["kind", "token", "gid", "n", "pos"])
+            for kind, columns in ((0, (c1[take], c2[take], group, n[take], n[take])), (1, (token.view(np.int64), np.zeros(len(doc), np.int64), group[doc], n[take][doc], pos))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns[:3]), *(pa.array(c.astype(np.int32)) for c in columns[3:])], names=["kind", "token", "c2", "gid", "n", "pos"])
 
-    return written(docs.select("text").mapInArrow(run, "kind int, token long, gid long, n int, pos int"))
+    return written(docs.select("text").mapInArrow(run, "kind int, token long, c2 long, gid long, n int, pos int"))
 
 
 def _fits(pct: int, na: str, nb: str, pa_: str, pb: str) -> F.Column:
-    """Size and position filter; sizes may be ranges' far ends."""
+    """Size and position filter of two postings."""
     need = F.ceil(F.lit(pct) * (F.col(na) + F.col(nb)) / F.lit(100 + pct))
     return F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) >= need
 
 
-def _distance_floor(na: F.Column, nb: F.Column, odd: F.Column) -> F.Column:
-    """A lower bound of the Jaccard distance from sizes and differing bits."""
+def _near(x: str, y: str, pct: int) -> F.Column:
+    """Whether sizes and bitmaps of the structs ``x`` and ``y`` allow a link."""
+    na, nb = F.col(f"{x}.n"), F.col(f"{y}.n")
+    odd = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS), F.lit(0))
     apart = F.greatest(odd, F.abs(na - nb))
-    return apart / ((na + nb + apart) / 2)
-
-
-def _differing_bits(a: str, b: str) -> F.Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITMAP // 8)), F.lit(0))
+    return apart / ((na + nb + apart) / 2) <= F.lit(1 - pct / 100 + 1e-9)
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, seed: int) -> DataFrame:
-    """(a, b, inter) of pairs of classes: the size of the sets' intersection.
-    Written to the shared folder."""
+def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
+    """(a, b, ta, tb, linked) of distinct pairs (a, b, ta, tb) of classes, whose
+    sets are compared whole. Written to the shared folder."""
     pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = written(ids.join(classes.select("cid", "key"), "cid"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["rk"] == wanted["key"]).select("cid", "text")
     hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts"))
-    dealt = pairs.join(hot, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    left = hot.join(texts, hot["a"] == texts["cid"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    right = dealt.join(texts, dealt["b"] == texts["cid"]).select("a", "salt", "b", "text")
-    rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    dealt = pairs.join(hot, "a").select(F.col("b").alias("cid"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "ta", "tb")
+    none = [F.lit(None).cast("long").alias(c) for c in ("b", "ta", "tb")]
+    left = hot.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *none)
+    roles = written(left.unionByName(dealt))
+    wanted = classes.select("cid", "rk", "rk2").join(roles.select("cid").distinct(), "cid")
+    texts = docs.join(wanted, ["rk", "rk2"]).groupBy("cid").agg(F.min("text").alias("text"))  # copies with one id are alike
+    rows = texts.join(roles, "cid").select("a", "salt", "b", "ta", "tb", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64)
-        for some, values, at in _sets(batches, 3, k):
-            out, cids = [], _class_ids(values, at, seed)[0].tolist()
-            for i, (a, b) in enumerate(zip(some.column(0).to_pylist(), some.column(2).to_pylist())):
+        held, whose = np.zeros(0, np.uint64), None
+        for some, values, at in _sets(batches, 5, k):
+            out = []
+            for i, (a, salt, b, ta, tb) in enumerate(zip(*(some.column(c).to_pylist() for c in range(5)))):
                 own = values[at[i] : at[i + 1]]
-                if cids[i] != (a if b is None else b):
-                    continue  # another text with the same id
                 if b is None:
-                    held = own
-                else:
-                    spot = np.searchsorted(held, own)
-                    out.append((a, b, int((held[np.minimum(spot, len(held) - 1)] == own).sum()) if len(held) else 0))
+                    held, whose = own, (a, salt)
+                    continue
+                if whose != (a, salt):
+                    raise RuntimeError("a text that was there in an earlier pass is missing: the table changed")
+                spot = np.minimum(np.searchsorted(held, own), len(held) - 1)
+                both = int((held[spot] == own).sum())
+                out.append((a, b, ta, tb, 100 * both >= pct * (len(held) + len(own) - both)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "inter"])
-
-    rows = rows.select("a", "salt", "b", "text")
-    return written(rows.mapInArrow(run, "a long, b long, inter long").dropDuplicates(["a", "b"]))
-
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:4]), pa.array([x[4] for x in out])], names=["a", "b", "ta", "tb", "linked"])
+
+    return written(rows.mapInArrow(run, "a long, b long, ta long, tb long, linked boolean"))
+
+
+def _families(df: DataFrame, k: int, pct: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """A row (id, rk, rk2, c1, c2, n) for each row of ``df``, and the family of
+    each non-empty class (c1, c2, top)."""
+    base = bounded_batches(df).select(F.col(id_col).alias("id"), *locator(id_col, text_col), F.col(text_col).alias("text"))
+    profile = _profile(base, k)
+    rows = profile.where("kind = 0").drop("kind", *BITS)
+    same = profile.where("kind = 0 AND n > 0").groupBy("c1", "c2")
+    classes = same.agg(F.min(F.struct("rk", "rk2")).alias("at"), F.min("n").alias("n"), *[F.min(b).alias(b) for b in BITS])
+    docs = base.where("text IS NOT NULL").select("rk", "rk2", "text")
+    posted = _postings(docs, k, pct, _levels(profile))
+    member = posted.where("kind = 0").select(F.col("token").alias("c1"), "c2", "gid").dropDuplicates(["c1", "c2"])
+    classes = classes.join(member, ["c1", "c2"]).select("c1", "c2", "gid", "at.rk", "at.rk2", "n", *BITS)
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
+    tokens = _tokens(posted, pct)
+    state = classes.select("cid", "gid", F.col("cid").alias("top"), "n", *BITS)
+    found = verify(docs, classes, _first_pairs(tokens, state, pct), k, pct)
+    state = _merged(state, found)
+    unlinked = found.where("NOT linked").select("a", "b")
+    for best_only in (True, True, False):
+        pairs = _candidates(tokens, state, pct, best_only).join(unlinked, ["a", "b"], "left_anti")
+        found = verify(docs, classes, pairs, k, pct)
+        state = _merged(state, found)
+        unlinked = unlinked.unionByName(found.where("NOT linked").select("a", "b"))
+    return rows, classes.select("cid", "c1", "c2").join(state.select("cid", "top"), "cid").drop("cid")
 
-def jaccard_components(df: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row: texts are linked when
-    100 * intersection >= pct * union of their ``k``-word shingle sets."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    base = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), key.alias("rk"), F.col(text_col).alias("text"))
-    for seed in range(8):
-        profile = _profile(base, k, seed)
-        rows = profile.where("kind = 0")
-        classes = rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"), F.min("rk").alias("key"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), F.max("n").alias("n2"))
-        classes = written(classes)
-        if classes.where("c1 <> c2 OR n <> n2").isEmpty():  # else two sets share a 64-bit class: hash anew
-            break
-    roots, links = _links(base, profile, classes, k, pct, seed)
-    top = components(links)
-    of_class = roots.select("cid", "root").join(top.withColumnRenamed("root", "top"), roots["root"] == top["node"], "left").select("cid", F.coalesce("top", "root").alias("top"))
-    of_class = of_class.join(classes.select("cid", "least"), "cid")
-    named = of_class.groupBy("top").agg(F.min("least").alias("c"))
-    whole = of_class.join(named, "top").select("cid", "c")
-    out = rows.join(whole, "cid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("c")), F.col("id")).alias("component_id"))
-    return out
 
+def locator(id_col: str, text_col: str) -> list[F.Column]:
+    """128 bits of a row's id and text."""
+    return [F.xxhash64(id_col, text_col).alias("rk"), F.xxhash64(F.lit(11), text_col, F.lit(1), id_col).alias("rk2")]
 
-def _links(base: DataFrame, profile: DataFrame, classes: DataFrame, k: int, pct: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Each class's root (cid, root) by verified links, and verified links (a, b)
-    between roots or what hangs on them: enough for all components."""
-    counts = _merged_sketch(profile)
-    typical = max(1.0, float(np.median(counts)))
-    # steps of a quarter octave above what chance gives; below it one level
-    levels = np.clip(np.round(4 * np.log2(np.maximum(counts, 1) / typical)), 0, 255).astype(np.uint8)
-    docs = base.where("text IS NOT NULL")
-    posted = _postings(docs, k, pct, seed, levels)
-    member = posted.where("kind = 0").select(F.col("token").alias("cid"), "gid").dropDuplicates(["cid"])
-    classes = written(classes.join(member, "cid"))
 
+def _tokens(posted: DataFrame, pct: int) -> DataFrame:
+    """(token, gid, pos, g1, g2) of shingles with several postings; g1 and g2 are
+    groups there that allow a link: the smallest of like size, and the one before."""
     by_token = Window.partitionBy("token").orderBy("n", "gid")
-    tokens = posted.where("kind = 1").drop("kind")
+    tokens = posted.where("kind = 1").select("token", "gid", "n", "pos")
     tokens = tokens.withColumns({"pg": F.lag("gid").over(by_token), "pn": F.lag("n").over(by_token), "pp": F.lag("pos").over(by_token), "ng": F.lead("gid").over(by_token)})
     # groups repeat if copies lie in several partitions: keep the first
     tokens = tokens.where("pg IS NULL OR pg <> gid OR pn <> n").where("NOT (pg IS NULL AND ng IS NULL)")
-    tokens = written(tokens)
-    reps = classes.groupBy("gid").agg(F.min("cid").alias("rep"), F.count("*").alias("members"))
-
-    # round 1: for each class one partner
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / pct)))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / pct))) if pct < 100 else F.col("n")
     star = Window.partitionBy("token", "band").orderBy("n", "gid")
-    first = tokens.withColumn("band", band).withColumns({"fg": F.first("gid").over(star), "fn": F.first("n").over(star), "fp": F.first("pos").over(star)})
-    pick = F.explode(F.array(F.struct(F.col("fg").alias("g"), F.col("fn").alias("m"), F.col("fp").alias("p")), F.struct(F.col("pg").alias("g"), F.col("pn").alias("m"), F.col("pp").alias("p"))))
-    near = first.select("gid", "n", "pos", pick.alias("x")).select("gid", "n", "pos", F.col("x.g").alias("g"), F.col("x.m").alias("m"), F.col("x.p").alias("p"))
-    near = near.where("g IS NOT NULL AND g <> gid").where(_fits(pct, "n", "m", "pos", "p"))
-    shared = near.groupBy("gid", "g").agg(F.count("*").alias("common"))
+    tokens = tokens.withColumn("band", band).withColumns({"fg": F.first("gid").over(star), "fn": F.first("n").over(star), "fp": F.first("pos").over(star)})
+    g1 = F.when((F.col("fg") != F.col("gid")) & _fits(pct, "n", "fn", "pos", "fp"), F.col("fg"))
+    g2 = F.when((F.col("pg") != F.col("gid")) & _fits(pct, "n", "pn", "pos", "pp"), F.col("pg"))
+    return written(tokens.select("token", "gid", "pos", g1.alias("g1"), g2.alias("g2")))
+
+
+def _first_pairs(tokens: DataFrame, state: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b, ta, tb) of classes: a group's first member with that of the
+    group it shares most shingles with, and the other members with the first."""
+    facts = F.struct("cid", "n", *BITS)
+    groups = state.groupBy("gid").agg(F.min(facts).alias("x"), F.count("*").alias("members"))
+    shared = tokens.select("gid", F.explode(F.array("g1", "g2")).alias("g")).where("g IS NOT NULL").groupBy("gid", "g").agg(F.count("*").alias("common"))
     best = shared.groupBy("gid").agg(F.max_by("g", F.struct("common", -F.col("g"))).alias("g"))
-    lone = best.join(reps.select("gid", F.col("rep").alias("x")), "gid").join(reps.select(F.col("gid").alias("g"), F.col("rep").alias("y")), "g").select("x", "y")
-    grouped = classes.join(reps.where("members > 1"), "gid").where("cid <> rep").select(F.col("cid").alias("x"), F.col("rep").alias("y"))
-    pairs = lone.unionByName(grouped)
-    facts = classes.select("cid", "n", "bits")
-    pairs = _bounded(pairs, facts, pct, 0.0).select(F.col("y").alias("a"), F.col("x").alias("b"))
-    found = _with_distance(verify(docs, classes, pairs, k, seed), facts)
-
-    # hang linked classes on roots; a path's distances bound a member's radius.
-    # Partners come before in one order, (n, gid, cid), so there is no cycle
-    hung = _hung(written(found.where(_linked(pct)).select(F.col("b").alias("cid"), F.col("a").alias("root"), F.col("dist").alias("r"))))
-    roots = written(classes.select("cid", "gid", "n").join(hung, "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("r", F.lit(0.0)).alias("r")))
-
-    # round 2: pairs of different roots
-    again = tokens.select("token", "gid", "n", "pos").unionByName(reps.where("members > 1").join(classes.select("gid", "n").dropDuplicates(["gid"]), "gid").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).alias("pos")))
-    posts = again.join(roots.select("gid", "root", "cid", "r"), "gid")
-    at = posts.groupBy("token", "root").agg(F.min("n").alias("n1"), F.max("n").alias("n2"), F.min("pos").alias("pos"))
-    several = Window.partitionBy("token")
-    at = written(at.withColumn("roots", F.count("*").over(several)).where("roots > 1"))
-    crowded = at.where(F.col("roots") > CROWD).select("token").distinct()
-    crowd = posts.join(crowded, "token", "left_semi").select("token", "cid", "root", "n", "pos")
-    crowd_links = _crowd_links(docs, classes, crowd, facts, roots, found, k, pct, seed)
-    at = at.where(F.col("roots") <= CROWD).drop("roots")
-    a, b = at.select(*[F.col(c).alias(f"a_{c}") for c in at.columns]), at.select(*[F.col(c).alias(f"b_{c}") for c in at.columns])
-    # of the sizes in both ranges, the nearest ones
-    met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_root") < F.col("b_root")) & (F.col("a_n2") * 100 >= F.col("b_n1") * pct) & (F.col("b_n2") * 100 >= F.col("a_n1") * pct))
-    need = lambda x, y: F.ceil(F.lit(pct) * (x + y) / F.lit(100 + pct))
-    small, large = F.col("a_n1"), F.col("b_n1")
-    met = met.where((F.col("a_n2") - F.col("a_pos") >= need(small, large)) & (F.col("b_n2") - F.col("b_pos") >= need(small, large)))
-    met = met.select(F.col("a_root").alias("x"), F.col("b_root").alias("y")).distinct()
-    known = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    radius = roots.groupBy("root").agg(F.max("r").alias("far"))
-    met = met.join(radius.select(F.col("root").alias("x"), F.col("far").alias("fx")), "x").join(radius.select(F.col("root").alias("y"), F.col("far").alias("fy")), "y")
-    met = _bounded(met, facts, pct, F.col("fx") + F.col("fy"))
-    met = written(met.select("x", "y", "fx", "fy"))
-    todo = met.join(known, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = _with_distance(verify(docs, classes, todo, k, seed), facts)
-    link2 = more.where(_linked(pct))
-
-    # members of roots that are apart, but not by more than their members may reach
-    whole = more.select(F.col("a").alias("x"), F.col("b").alias("y"), "dist").unionByName(found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "dist"))
-    limit = 1 - pct / 100
-    open_ = met.join(whole, ["x", "y"]).where(F.col("dist") > limit).where((F.col("fx") + F.col("fy") > 0) & (F.col("dist") <= limit + 1e-9 + F.col("fx") + F.col("fy")))
-    links = link2.select("a", "b").unionByName(crowd_links)
-    open_ = written(open_.select("x", "y", "dist"))
-    if open_.isEmpty():
-        return roots, links
-    own = lambda c, m, r, n: roots.select(F.col("root").alias(c), F.col("cid").alias(m), F.col("r").alias(r), F.col("n").alias(n))
-    inside = open_.join(own("x", "u", "ru", "nu"), "x").join(own("y", "v", "rv", "nv"), "y")
-    inside = inside.where((F.col("dist") <= limit + 1e-9 + F.col("ru") + F.col("rv")) & (F.col("nu") * 100 >= F.col("nv") * pct) & (F.col("nv") * 100 >= F.col("nu") * pct))
-    inside = inside.where((F.col("u") != F.col("x")) | (F.col("v") != F.col("y")))
-    inside = _bounded(inside.select(F.col("u").alias("x"), F.col("v").alias("y")), facts, pct, 0.0).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    last = _with_distance(verify(docs, classes, inside, k, seed), facts)
-    up = roots.select("cid", "root")
-    inner = last.where(_linked(pct)).join(up.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
-    return roots, links.unionByName(inner.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-
-
-def _crowd_links(docs: DataFrame, classes: DataFrame, crowd: DataFrame, facts: DataFrame, roots: DataFrame, found: DataFrame, k: int, pct: int, seed: int) -> DataFrame:
-    """Links between roots (a, b) under shingles where many roots meet. Members
-    are compared by bitmap where they stand. Twice, each has only its likeliest
-    partner under another root verified, and roots that are linked become one; so
-    a family of near copies is one root before all pairs that the bitmaps let
-    through are verified."""
-    empty = roots.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0)
-    crowd = written(crowd.join(facts.select("cid", "bits"), "cid"))
-    if crowd.isEmpty():
-        return empty
-    done = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    up = roots.select("cid", "root")
-    links = empty
-    for best_only in (True, True, False):
-        merged = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        rows = crowd.join(merged, "root", "left").withColumn("top", F.coalesce("top", "root"))
-        whole = Window.partitionBy("token")
-        rows = rows.withColumns({"lo": F.min("top").over(whole), "hi": F.max("top").over(whole)}).where("lo <> hi")
-        rows = rows.select("token", "cid", "top", "n", "pos", "bits").sortWithinPartitions("token", "n", "cid")
-        pairs = rows.mapInArrow(_compared(pct, best_only), "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
-        got = verify(docs, classes, pairs, k, seed)
-        done = done.unionByName(got.select("a", "b"))
-        good = _with_distance(got, facts).where(_linked(pct)).select("a", "b")
-        ends = good.join(up.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
-        links = written(links.unionByName(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    return links
+    lone = best.join(groups.select("gid", "x"), "gid").join(groups.select(F.col("gid").alias("g"), F.col("x").alias("y")), "g").select("x", "y")
+    inner = state.select("gid", facts.alias("x")).join(groups.where("members > 1").select("gid", F.col("x").alias("y")), "gid").where("x.cid <> y.cid").select("x", "y")
+    pairs = lone.unionByName(inner).where(_near("x", "y", pct)).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b"))
+    return pairs.withColumns({"ta": F.col("a"), "tb": F.col("b")})
+
+
+def _merged(state: DataFrame, found: DataFrame) -> DataFrame:
+    """``state`` with linked families as one."""
+    top = components(found.where("linked").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
+    joined = state.join(top.withColumnRenamed("node", "top"), "top", "left")
+    return written(joined.select("cid", "gid", F.coalesce("root", "top").alias("top"), "n", *BITS))
+
+
+def _candidates(tokens: DataFrame, state: DataFrame, pct: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b, ta, tb) of members of different families under one shingle,
+    a < b, whose sizes, positions and bitmaps allow a link; or of each member only
+    the one with its nearest partner there."""
+    groups = state.groupBy("gid").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.count("*").alias("m"))
+    own = groups.where("lo <> hi").select(F.col("gid").alias("token"), "gid", F.lit(0).alias("pos"))
+    posts = tokens.select("token", "gid", "pos").unionByName(own)
+    live = posts.join(groups, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"))
+    live = live.where("lo <> hi").select("token", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    rows = posts.join(live, "token").join(state, "gid").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumns({"p": F.least("tile", "other"), "q": F.greatest("tile", "other")})
+    rows = rows.select("token", "p", "q", "tile", "cid", "top", "n", "pos", *BITS).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "cid")
+    return rows.mapInArrow(_compared(pct, best_only), "a long, b long, ta long, tb long").distinct()
 
 
 def _compared(pct: int, best_only: bool):
-    """An Arrow function over rows (token, cid, top, n, pos, bits) sorted by token
-    and n: pairs (a, b), a < b, under one token and different tops, whose sizes,
-    positions and bitmaps allow a link; or for each row only the nearest one."""
-
-    def pairs_of(cid, top, n, pos, bits):
-        out, tile = [], 512
-        limit = 1 - pct / 100 + 1e-9
-        for x in range(0, len(cid), tile):
-            i = slice(x, x + tile)
-            near = np.full(min(tile, len(cid) - x), np.inf)
-            mate = np.full(len(near), -1)
-            to = int(np.searchsorted(n, n[i][-1] * 100 // pct, side="right"))
-            start = int(np.searchsorted(n, -(-n[x] * pct // 100), side="left")) if best_only else x
-            for y in range(start, to, 2048):
-                j = slice(y, min(y + 2048, to))
-                odd = np.zeros((len(near), j.stop - y), np.int32)
-                for w in range(bits.shape[1]):
-                    odd += np.bitwise_count(bits[i, w][:, None] ^ bits[j, w][None, :])
-                na, nb = n[i][:, None], n[j][None, :]
-                apart = np.maximum(odd, np.abs(na - nb))
-                least = 2 * apart / (na + nb + apart)
-                need = -(-pct * (na + nb) // (100 + pct))
-                ok = (least <= limit) & (top[i][:, None] != top[j][None, :]) & (np.minimum(na - pos[i][:, None], nb - pos[j][None, :]) >= need)
-                if best_only:
-                    least = np.where(ok, least, np.inf)
-                    m = least.argmin(axis=1)
-                    better = least[np.arange(len(near)), m] < near
-                    near[better], mate[better] = least[np.arange(len(near)), m][better], m[better] + y
-                else:
-                    r, c = np.nonzero(ok)
-                    keep = r + x < c + y
-                    out.append((cid[r[keep] + x], cid[c[keep] + y]))
-            if best_only:
-                r = np.flatnonzero(mate >= 0)
-                out.append((cid[r + x], cid[mate[r]]))
-        return (np.concatenate(z) for z in zip(*out))
+    """An Arrow function over rows (token, p, q, tile, cid, top, n, pos, bitmap)
+    sorted by tile pair and size. Every row is compared with the next, the second
+    next and so on, all rows at once, until the pair ends or sizes are too far."""
+    limit = 1 - pct / 100 + 1e-9
+
+    def pairs(columns: list[np.ndarray], bits: np.ndarray):
+        token, p, q, tile, cid, top, n, pos = columns
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        end = np.append(np.flatnonzero(new), len(token))[np.cumsum(new)]
+        best, mate = np.full(len(token), np.inf), np.full(len(token), -1)
+        active, step = np.arange(len(token)), 0
+        while True:
+            step += 1
+            active = active[active + step < end[active]]
+            active = active[100 * n[active] >= pct * n[active + step]]
+            if not len(active):
+                break
+            i = active[top[active] != top[active + step]]
+            j = i + step
+            ok = (tile[i] != tile[j]) | (p[i] == q[i])
+            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= -(-pct * (n[i] + n[j]) // (100 + pct))
+            i, j = i[ok], j[ok]
+            apart = np.maximum(np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64), n[j] - n[i])
+            least = 2 * apart / (n[i] + n[j] + apart)
+            ok = least <= limit
+            i, j, least = i[ok], j[ok], least[ok]
+            if not best_only:
+                yield i, j
+                continue
+            for x, y in ((i, j), (j, i)):
+                better = least < best[x]
+                best[x[better]], mate[x[better]] = least[better], y[better]
+        if best_only:
+            i = np.flatnonzero(mate >= 0)
+            yield i, mate[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list[np.ndarray]] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(z) for z in zip(*held)]
-            token = columns[0]
-            edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-            for a, b in zip(edges, edges[1:]):
-                if b - a > 1:
-                    x, y = pairs_of(*(c[a:b] for c in columns[1:]))
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cid, top, bits = columns[4], columns[5], np.stack(columns[8:], axis=1).view(np.uint64)
+            for i, j in pairs(columns[:8], bits):
+                if len(i):
+                    x, y = np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cid[x], cid[y], top[x], top[y])], names=["a", "b", "ta", "tb"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            get = lambda c: batch.column(c).to_numpy().astype(np.int64)  # noqa: E731, B023
-            bits = batch.column(5).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64)
-            columns = (get(0), get(1), get(2), get(3), get(4), bits)
-            # the last token may go on in the next batch
-            cut = int(np.searchsorted(-1 * (columns[0] != columns[0][-1]), 0)) if columns[0][0] != columns[0][-1] else 0
-            if cut:
-                held.append(tuple(c[:cut] for c in columns))
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in range(8 + BITMAP)]
+            last = np.flatnonzero(np.any([c != c[-1] for c in columns[:3]], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last tile pair may go on in the next batch
+            if cut or (held and any(h[-1] != c[0] for h, c in zip(held[-1][:3], columns))):
+                held.append([c[:cut] for c in columns])
                 yield from done()
                 held = []
-            held.append(tuple(c[cut:] for c in columns))
+            held.append([c[cut:] for c in columns])
         if held:
             yield from done()
 
     return run
 
 
-def _bounded(pairs: DataFrame, facts: DataFrame, pct: int, reach: F.Column | float) -> DataFrame:
-    """Pairs (x, y) whose sizes and bitmaps allow a distance within the limit
-    plus ``reach``."""
-    reach = F.lit(reach) if isinstance(reach, float) else reach
-    fx = facts.select(F.col("cid").alias("x"), F.col("n").alias("__nx"), F.col("bits").alias("__bx"))
-    fy = facts.select(F.col("cid").alias("y"), F.col("n").alias("__ny"), F.col("bits").alias("__by"))
-    both = pairs.join(fx, "x").join(fy, "y")
-    least = _distance_floor(F.col("__nx"), F.col("__ny"), _differing_bits("__bx", "__by"))
-    return both.where(least <= F.lit(1 - pct / 100 + 1e-9) + reach).drop("__nx", "__ny", "__bx", "__by")
-
-
-def _with_distance(found: DataFrame, facts: DataFrame) -> DataFrame:
-    fa = facts.select(F.col("cid").alias("a"), F.col("n").alias("na"))
-    fb = facts.select(F.col("cid").alias("b"), F.col("n").alias("nb"))
-    union = F.col("na") + F.col("nb") - F.col("inter")
-    return found.join(fa, "a").join(fb, "b").select("a", "b", "inter", union.alias("uni"), (1 - F.col("inter") / union).alias("dist"))
-
-
-def _linked(pct: int) -> F.Column:
-    return F.col("inter") * 100 >= F.col("uni") * pct
-
-
-def _hung(up: DataFrame) -> DataFrame:
-    """(cid, root, r): every class of a forest (cid, root, r: its parent and the
-    distance to it) at the top of its tree, r the sum of distances on the way.
-    Each round halves the depth."""
-    while True:
-        over = up.select(F.col("cid").alias("root"), F.col("root").alias("next"), F.col("r").alias("more"))
-        new = written(up.join(over, "root", "left").select("cid", F.coalesce("next", "root").alias("root"), (F.col("r") + F.coalesce("more", F.lit(0.0))).alias("r"), F.col("next").isNotNull().alias("moved")))
-        up = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return up
+def jaccard_components(df: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for each row: texts are linked when
+    100 * intersection >= pct * union of their ``k``-word shingle sets."""
+    rows, family = _families(df, k, pct, id_col, text_col)
+    least = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"))
+    named = family.join(least, ["c1", "c2"])
+    named = named.join(named.groupBy("top").agg(F.min("least").alias("c")), "top").select("c1", "c2", "c")
+    out = rows.join(named, ["c1", "c2"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of ``df``: that of the smallest id, or of the
-    smallest hash of id and text where ids are null or repeated. Texts without
-    shingles all stay (of equal rows one)."""
-    unique = df.agg((F.count("*") == F.count_distinct(id_col)).alias("u")).head().u
-    keyed = df.withColumn("__key", F.col(id_col).cast("long") if unique else F.xxhash64(id_col, text_col))
-    found = jaccard_components(keyed, k, pct, "__key", text_col)
-    keep = written(found.where("__key = component_id").select("__key").distinct())
-    kept = keyed.join(F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep, "__key", "left_semi")
-    return (kept if unique else kept.dropDuplicates(["__key"])).drop("__key")
+    """One row of each component of ``df``: that of the smallest id (null ids come
+    after all others), among equal ids that of the smallest hash of id and text.
+    Texts without shingles all stay; of rows with the same id and text, one."""
+    rows, family = _families(df, k, pct, id_col, text_col)
+    first = rows.groupBy("c1", "c2", (F.col("n") > 0).alias("some"), F.when(F.col("n") == 0, F.struct("rk", "rk2")).alias("alone"))
+    first = first.agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rk", "rk2")).alias("x")).drop("alone")
+    kept = first.where("some").join(family, ["c1", "c2"]).groupBy("top").agg(F.min("x").alias("x")).select("x.rk", "x.rk2")
+    kept = written(kept.unionByName(first.where("NOT some").select("x.rk", "x.rk2")))
+    at = dict(zip(("__rk", "__rk2"), locator(id_col, text_col)))
+    kept = kept.select(F.col("rk").alias("__rk"), F.col("rk2").alias("__rk2"))
+    return df.withColumns(at).join(kept, ["__rk", "__rk2"], "left_semi").dropDuplicates(["__rk", "__rk2"]).drop("__rk", "__rk2")
