@@ -49,11 +49,10 @@ from threadloom.llm._arrow import bounded_batches, give_back, mix64, slices, tex
 from threadloom.llm.components import components
 from threadloom.llm.shingles import shingle_sets
 
-#: Counters of the sketch in a task; a counter is reported from OFTEN on, and so
-#: many of the heaviest have levels of their own. They only order shingles: with
-#: others, the result is the same.
+#: Counters of the sketch in a task, which reports those that chance doesn't
+#: explain; of all reported, the HEAVY heaviest have levels of their own. They only
+#: order shingles: with others, the result is the same.
 SKETCH = 1 << 22
-OFTEN = 3
 HEAVY = 1 << 18
 #: 64-bit words of a bitmap.
 BITMAP = 8
@@ -132,7 +131,8 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             np.add.at(sketch, (values[np.repeat(keep, n)] & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             id_type = some.schema.field(0).type
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), *some.columns[:3], *map(pa.array, (c1, c2, n)), *_bitmaps(values, at)], names=names)
-        often = np.flatnonzero(sketch >= OFTEN)
+        chance = sketch.sum() / SKETCH
+        often = np.flatnonzero(sketch >= chance + 5 * math.sqrt(chance) + 2)
         for a in range(0, len(often), 1 << 16):
             i = often[a : a + (1 << 16)]
             none, zero = pa.nulls(len(i), id_type), pa.array(np.zeros(len(i), np.int64))
@@ -256,8 +256,10 @@ def _families(df: DataFrame, k: int, pct: int, id_col: str, text_col: str) -> tu
     state = _merged(state, found)
     unlinked = found.where("NOT linked").select("a", "b")
     for best_only in (True, True, False):
-        pairs = _candidates(tokens, state, pct, best_only).join(unlinked, ["a", "b"], "left_anti")
-        found = verify(docs, classes, pairs, k, pct)
+        pairs = written(_candidates(tokens, state, pct, best_only))
+        if pairs.isEmpty():
+            break  # no two families may be linked any more
+        found = verify(docs, classes, pairs.join(unlinked, ["a", "b"], "left_anti"), k, pct)
         state = _merged(state, found)
         unlinked = unlinked.unionByName(found.where("NOT linked").select("a", "b"))
     return rows, classes.select("cid", "c1", "c2").join(state.select("cid", "top"), "cid").drop("cid")
