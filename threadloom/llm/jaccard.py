@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with grouped prefixes, to exact components.
 
 1. One scan gives each text its number of distinct shingles, a 128-bit
-   fingerprint of the set and a parity bitmap, and counts shingles in a sketch.
+   fingerprint of the set and a histogram, and counts shingles in a sketch.
    Texts with equal sets are one class from here on.
 2. Shingles have one total order: by the level of their counter in the sketch
    (rare first), then by hash. A second scan takes each class's prefix. If two
@@ -13,7 +13,7 @@
    many pairs as there are classes, however large a family of near copies is.
    Linked classes are one family from here on.
 4. Groups under a shingle where several families still meet are expanded to
-   members, which are compared by size, position and bitmap where they stand;
+   members, which are compared by size, position and histogram where they stand;
    members of one family aren't paired. Twice, each member has only its likeliest
    partner verified, and families that are linked become one; then every pair
    that the bounds let through and that wasn't verified is.
@@ -54,9 +54,12 @@ from threadloom.llm.shingles import shingle_sets
 #: order shingles: with others, the result is the same.
 SKETCH = 1 << 22
 HEAVY = 1 << 18
-#: 64-bit words of a bitmap.
-BITMAP = 8
-BITS = [f"b{i}" for i in range(BITMAP)]
+#: 64-bit words of a set's histogram: 16 cells of four bits in each.
+WORDS = 16
+BITS = [f"b{i}" for i in range(WORDS)]
+#: Up to so many texts are looked up by broadcast locators (16 bytes each); for more
+#: the texts are shuffled.
+BROADCAST_ROWS = 200_000
 #: A partner with more pairs than this is dealt over several tasks.
 SALT_PAIRS = 256
 #: Members of a tile: two tiles of about 100 bytes a member are compared at once.
@@ -91,14 +94,33 @@ def _class_ids(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix64(one).view(np.int64), two.view(np.int64)
 
 
-def _bitmaps(values: np.ndarray, at: np.ndarray) -> list[pa.Array]:
-    """Parity bits: bit h is set if an odd number of shingles have hash h."""
-    bits = 64 * BITMAP
+def _histograms(values: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Shingles counted by a hash into 16 * WORDS cells, modulo 16."""
+    cells = 16 * WORDS
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    cell = row * bits + (values >> np.uint64(24)).astype(np.int64) % bits
-    odd = (np.bincount(cell, minlength=(len(at) - 1) * bits) & 1).astype(np.uint8)
-    words = np.frombuffer(np.packbits(odd).tobytes(), np.int64).reshape(-1, BITMAP)
-    return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(BITMAP)]
+    count = np.bincount(row * cells + (values >> np.uint64(24)).astype(np.int64) % cells, minlength=(len(at) - 1) * cells).astype(np.uint8) & 15
+    words = (count[0::2] | count[1::2] << 4).view(np.int64).reshape(-1, WORDS)
+    return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the sets' symmetric difference: over all cells, the sum of
+    the distances of counts around a circle of 16. Rows of words; all cells of a
+    word at once."""
+    top, low = np.uint64(0x8888888888888888), np.uint64(0x7777777777777777)
+    d = ((x | top) - (y & low)) ^ ((x ^ ~y) & top)  # each cell's difference modulo 16
+    over = d & top
+    d ^= over | (over - (over >> np.uint64(3)))  # from 8 on, 15 less the difference
+    total = np.bitwise_count(over).astype(np.int32)
+    for bit in range(3):
+        total += np.bitwise_count(d & np.uint64(0x1111111111111111 << bit)).astype(np.int32) << bit
+    return total.sum(axis=1, dtype=np.int64)
+
+
+def _distance_floor(na: np.ndarray, nb: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    """A lower bound of the Jaccard distance from sizes and _differing."""
+    apart = np.maximum(differing, np.abs(na - nb))
+    return 2 * apart / (na + nb + apart)
 
 
 class _Fresh:
@@ -117,7 +139,7 @@ class _Fresh:
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Kind 0: id, locator, class, n and bitmap of each row; kind 1: a counter
+    """Kind 0: id, locator, class, n and histogram of each row; kind 1: a counter
     of the sketch (in ``c1``) and its count (in ``n``) in one task."""
     names = ["kind", "id", "rk", "rk2", "c1", "c2", "n", *BITS]
 
@@ -130,13 +152,13 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             keep[fresh(c1, n)] = True
             np.add.at(sketch, (values[np.repeat(keep, n)] & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             id_type = some.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), *some.columns[:3], *map(pa.array, (c1, c2, n)), *_bitmaps(values, at)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), *some.columns[:3], *map(pa.array, (c1, c2, n)), *_histograms(values, at)], names=names)
         chance = sketch.sum() / SKETCH
         often = np.flatnonzero(sketch >= chance + 5 * math.sqrt(chance) + 2)
         for a in range(0, len(often), 1 << 16):
             i = often[a : a + (1 << 16)]
             none, zero = pa.nulls(len(i), id_type), pa.array(np.zeros(len(i), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), none, zero, zero, pa.array(i), zero, pa.array(sketch[i].astype(np.int64)), *[zero] * BITMAP], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), none, zero, zero, pa.array(i), zero, pa.array(sketch[i].astype(np.int64)), *[zero] * WORDS], names=names)
 
     kept = docs.schema["id"].dataType.simpleString()
     return written(docs.mapInArrow(run, f"kind int, id {kept}, rk long, rk2 long, c1 long, c2 long, n long, " + ", ".join(f"{b} long" for b in BITS)))
@@ -195,12 +217,18 @@ def _fits(pct: int, na: str, nb: str, pa_: str, pb: str) -> F.Column:
     return F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) >= need
 
 
-def _near(x: str, y: str, pct: int) -> F.Column:
-    """Whether sizes and bitmaps of the structs ``x`` and ``y`` allow a link."""
-    na, nb = F.col(f"{x}.n"), F.col(f"{y}.n")
-    odd = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS), F.lit(0))
-    apart = F.greatest(odd, F.abs(na - nb))
-    return apart / ((na + nb + apart) / 2) <= F.lit(1 - pct / 100 + 1e-9)
+def _bounded(pairs: DataFrame, pct: int) -> DataFrame:
+    """(a, b) of the pairs of structs x and y (cid, n, histogram) whose sizes and
+    histograms allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([batch.column(c).field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2 + WORDS)] for c in (0, 1))
+            bits = (np.stack(c[2:], axis=1).view(np.uint64) for c in (x, y))
+            near = _distance_floor(x[1], y[1], _differing(*bits)) <= 1 - pct / 100 + 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(y[0][near]), pa.array(x[0][near])], names=["a", "b"])
+
+    return pairs.select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
@@ -212,7 +240,9 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pct: i
     none = [F.lit(None).cast("long").alias(c) for c in ("b", "ta", "tb")]
     left = hot.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *none)
     roles = written(left.unionByName(dealt))
-    wanted = classes.select("cid", "rk", "rk2").join(roles.select("cid").distinct(), "cid")
+    wanted = written(classes.select("cid", "rk", "rk2").join(roles.select("cid").distinct(), "cid"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, ["rk", "rk2"]).groupBy("cid").agg(F.min("text").alias("text"))  # copies with one id are alike
     rows = texts.join(roles, "cid").select("a", "salt", "b", "ta", "tb", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -252,14 +282,18 @@ def _families(df: DataFrame, k: int, pct: int, id_col: str, text_col: str) -> tu
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     tokens = _tokens(posted, pct)
     state = classes.select("cid", "gid", F.col("cid").alias("top"), "n", *BITS)
+    inner = state.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("token"), "gid", F.lit(0).alias("pos"))
     found = verify(docs, classes, _first_pairs(tokens, state, pct), k, pct)
     state = _merged(state, found)
+    tokens = tokens.select("token", "gid", "pos").unionByName(inner)  # members of a group meet, too
     unlinked = found.where("NOT linked").select("a", "b")
     for best_only in (True, True, False):
         pairs = written(_candidates(tokens, state, pct, best_only))
         if pairs.isEmpty():
             break  # no two families may be linked any more
-        found = verify(docs, classes, pairs.join(unlinked, ["a", "b"], "left_anti"), k, pct)
+        # where no pair is near enough now, none will be later: families only grow
+        tokens = written(tokens.join(pairs.select("token").distinct(), "token", "left_semi"))
+        found = verify(docs, classes, pairs.drop("token").distinct().join(unlinked, ["a", "b"], "left_anti"), k, pct)
         state = _merged(state, found)
         unlinked = unlinked.unionByName(found.where("NOT linked").select("a", "b"))
     return rows, classes.select("cid", "c1", "c2").join(state.select("cid", "top"), "cid").drop("cid")
@@ -289,14 +323,13 @@ def _tokens(posted: DataFrame, pct: int) -> DataFrame:
 def _first_pairs(tokens: DataFrame, state: DataFrame, pct: int) -> DataFrame:
     """Pairs (a, b, ta, tb) of classes: a group's first member with that of the
     group it shares most shingles with, and the other members with the first."""
-    facts = F.struct("cid", "n", *BITS)
+    facts = F.struct("cid", F.col("n").cast("long").alias("n"), *BITS)
     groups = state.groupBy("gid").agg(F.min(facts).alias("x"), F.count("*").alias("members"))
     shared = tokens.select("gid", F.explode(F.array("g1", "g2")).alias("g")).where("g IS NOT NULL").groupBy("gid", "g").agg(F.count("*").alias("common"))
     best = shared.groupBy("gid").agg(F.max_by("g", F.struct("common", -F.col("g"))).alias("g"))
     lone = best.join(groups.select("gid", "x"), "gid").join(groups.select(F.col("gid").alias("g"), F.col("x").alias("y")), "g").select("x", "y")
     inner = state.select("gid", facts.alias("x")).join(groups.where("members > 1").select("gid", F.col("x").alias("y")), "gid").where("x.cid <> y.cid").select("x", "y")
-    pairs = lone.unionByName(inner).where(_near("x", "y", pct)).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b"))
-    return pairs.withColumns({"ta": F.col("a"), "tb": F.col("b")})
+    return _bounded(lone.unionByName(inner), pct).withColumns({"ta": F.col("a"), "tb": F.col("b")})
 
 
 def _merged(state: DataFrame, found: DataFrame) -> DataFrame:
@@ -307,23 +340,21 @@ def _merged(state: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _candidates(tokens: DataFrame, state: DataFrame, pct: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b, ta, tb) of members of different families under one shingle,
-    a < b, whose sizes, positions and bitmaps allow a link; or of each member only
-    the one with its nearest partner there."""
+    """Pairs (token, a, b, ta, tb) of members of different families under one
+    shingle, a < b, whose sizes, positions and histograms allow a link; or of each
+    member only the one with its nearest partner there. A pair may come several times."""
     groups = state.groupBy("gid").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.count("*").alias("m"))
-    own = groups.where("lo <> hi").select(F.col("gid").alias("token"), "gid", F.lit(0).alias("pos"))
-    posts = tokens.select("token", "gid", "pos").unionByName(own)
-    live = posts.join(groups, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"))
+    live = tokens.join(groups, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"))
     live = live.where("lo <> hi").select("token", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    rows = posts.join(live, "token").join(state, "gid").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    rows = tokens.join(live, "token").join(state, "gid").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumns({"p": F.least("tile", "other"), "q": F.greatest("tile", "other")})
     rows = rows.select("token", "p", "q", "tile", "cid", "top", "n", "pos", *BITS).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "cid")
-    return rows.mapInArrow(_compared(pct, best_only), "a long, b long, ta long, tb long").distinct()
+    return rows.mapInArrow(_compared(pct, best_only), "token long, a long, b long, ta long, tb long")
 
 
 def _compared(pct: int, best_only: bool):
-    """An Arrow function over rows (token, p, q, tile, cid, top, n, pos, bitmap)
+    """An Arrow function over rows (token, p, q, tile, cid, top, n, pos, histogram)
     sorted by tile pair and size. Every row is compared with the next, the second
     next and so on, all rows at once, until the pair ends or sizes are too far."""
     limit = 1 - pct / 100 + 1e-9
@@ -346,10 +377,10 @@ def _compared(pct: int, best_only: bool):
             ok = (tile[i] != tile[j]) | (p[i] == q[i])
             ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= -(-pct * (n[i] + n[j]) // (100 + pct))
             i, j = i[ok], j[ok]
-            apart = np.maximum(np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64), n[j] - n[i])
-            least = 2 * apart / (n[i] + n[j] + apart)
-            ok = least <= limit
-            i, j, least = i[ok], j[ok], least[ok]
+            for part in (slice(0, 4), slice(0, WORDS)):  # a quarter is enough for most
+                least = _distance_floor(n[i], n[j], _differing(bits[i, part], bits[j, part]))
+                ok = least <= limit
+                i, j, least = i[ok], j[ok], least[ok]
             if not best_only:
                 yield i, j
                 continue
@@ -365,16 +396,16 @@ def _compared(pct: int, best_only: bool):
 
         def done() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*held)]
-            cid, top, bits = columns[4], columns[5], np.stack(columns[8:], axis=1).view(np.uint64)
+            token, cid, top, bits = columns[0], columns[4], columns[5], np.stack(columns[8:], axis=1).view(np.uint64)
             for i, j in pairs(columns[:8], bits):
                 if len(i):
                     x, y = np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cid[x], cid[y], top[x], top[y])], names=["a", "b", "ta", "tb"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (token[x], cid[x], cid[y], top[x], top[y])], names=["token", "a", "b", "ta", "tb"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy().astype(np.int64) for c in range(8 + BITMAP)]
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in range(8 + WORDS)]
             last = np.flatnonzero(np.any([c != c[-1] for c in columns[:3]], axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last tile pair may go on in the next batch
             if cut or (held and any(h[-1] != c[0] for h, c in zip(held[-1][:3], columns))):
