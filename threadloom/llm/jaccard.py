@@ -291,8 +291,8 @@ def _families(df: DataFrame, k: int, pct: int, id_col: str, text_col: str) -> tu
         pairs = written(_candidates(tokens, state, pct, best_only))
         if pairs.isEmpty():
             break  # no two families may be linked any more
-        # where no pair is near enough now, none will be later: families only grow
-        tokens = written(tokens.join(pairs.select("token").distinct(), "token", "left_semi"))
+        if best_only:  # where no pair is near enough now, none will be later: families only grow
+            tokens = written(tokens.join(pairs.select("token").distinct(), "token", "left_semi"))
         found = verify(docs, classes, pairs.drop("token").distinct().join(unlinked, ["a", "b"], "left_anti"), k, pct)
         state = _merged(state, found)
         unlinked = unlinked.unionByName(found.where("NOT linked").select("a", "b"))
@@ -393,13 +393,25 @@ def _compared(pct: int, best_only: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        seen = np.zeros(0, np.uint64)
+
+        def fresh(x: np.ndarray, y: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal seen
+            with np.errstate(over="ignore"):
+                key = mix64(mix64(cid[x].view(np.uint64)) + cid[y].view(np.uint64))
+            first = np.unique(key, return_index=True)[1]
+            first = first[~np.isin(key[first], seen)]
+            seen = np.concatenate([seen, key[first]])[-200_000:]
+            return x[first], y[first]
 
         def done() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*held)]
             token, cid, top, bits = columns[0], columns[4], columns[5], np.stack(columns[8:], axis=1).view(np.uint64)
             for i, j in pairs(columns[:8], bits):
-                if len(i):
-                    x, y = np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i)
+                x, y = np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i)
+                if not best_only:  # the token doesn't matter: a pair once, or again much later
+                    x, y = fresh(x, y, cid)
+                if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in (token[x], cid[x], cid[y], top[x], top[y])], names=["token", "a", "b", "ta", "tb"])
 
         for batch in batches:
