@@ -54,7 +54,7 @@ def test_carry_file_and_quota(spark):
     pairs = f([(1, 2, 1), (1, 3, 2), (1, 4, 3), (5, 6, 4), (2, 3, 5)], "a long, b long, place long")
     assert [(r.a, r.b) for r in L.quota_limited(pairs, 4).orderBy("place").collect()] == [(1, 2), (1, 3), (5, 6), (2, 3)]
     events = f([(5, 10, "idea_add", "d1"), (6, 11, "idea_add", "d1"), (7, 12, "idea_add", "d2")], "event_id long, at long, kind string, idea_id string")
-    assert [tuple(r)[:2] for r in L.typed_observations(events, f([("d2", "typed")], "idea_id string, source string")).collect()] == [("d1", 10)]
+    assert [tuple(r)[:2] for r in L.typed_observations(events, f([("d2", "typed")], "idea_id string, source string"), f([("d1", "mine"), ("d2", "mine")], "idea_id string, origin string"), f([("d9",)], "other_id string")).collect()] == [("d1", 10)]
 
 
 def test_theme_log(spark):

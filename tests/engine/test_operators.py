@@ -30,11 +30,17 @@ def test_recurrences(spark):
 
 def test_quote_score_and_place():
     assert text.score("the quick brown fox jumps", "well, the quick brown fox jumps over") == 1.0
+    assert text.score("uh, I like it so well, yeah", "I like it so well yeah hmm") == 1.0  # like, so, well and yeah are words
+    assert text.score("eh no way", "no way") == 0.5  # two words count as four
     assert text.score("", "a b") == 0 and text.score("one two three four", "five six seven eight") == 0
     assert text.score("déjà vu encore là", "deja vu encore la") < 1
     window = [("a", "we should keep it simple"), ("b", "and then ship the thing")]
-    assert text.place("keep it simple … ship the thing", window, ["a"]) == (["a", "b"], 1.0)
-    assert text.place("", window, ["a"]) == (["a"], 1.0)
+    assert text.place("keep it simple … ship the thing", window, ["a"]) == ("keep it simple … ship the thing", ["a", "b"], 1.0)
+    assert text.place("", window, ["a", "z"]) == ("", ["a", "z"], 1.0)
+    assert text.place(" [3] me: ship the thing", window, []) == ("ship the thing", ["b"], 1.0)
+    assert text.place("simple and", window, []) == ("simple and", ["a", "b"], 1.0)  # a run across lines is on both
+    assert text.place("the other", window, ["a"]) == ("the other", ["a"], 0.5)  # one shared word puts it nowhere
+    assert text.place("um we / thing", window, []) == ("um we / thing", ["b"], 0.667)  # fillers count; one word that is all of a part
 
 
 def test_greedy_is_the_sequential_rule(spark):
@@ -50,7 +56,35 @@ def test_neighbourhoods_two_triangles_and_a_bridge(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.label for r in graph.neighbourhoods(df.where("a <> b")).collect()}
     assert len({got[i] for i in (1, 2, 3)}) == 1 and len({got[i] for i in (11, 12, 13)}) == 1 and got[1] != got[11]
-    assert got == graph.propagate_labels(edges)
+    assert got == swept([e for e in edges if e[0] != e[1]])
+
+
+def swept(edges, rounds=30):
+    """The rule itself: sweeps in id order, a neighbour pulling with 1 and the
+    number of common neighbours, moves only to what pulls more."""
+    near = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    label = {x: x for x in near}
+    for _ in range(rounds):
+        was = dict(label)
+        for x in sorted(near):
+            pulls = {}
+            for y in near[x]:
+                pulls[label[y]] = pulls.get(label[y], 0) + 1 + len(near[x] & near[y])
+            if max(pulls.values()) > pulls.get(label[x], 0):
+                label[x] = min(n for n in pulls if pulls[n] == max(pulls.values()))
+        if was == label:
+            break
+    return label
+
+
+def test_neighbourhoods_of_a_random_graph(spark):
+    rnd = random.Random(4)
+    edges = sorted({(min(e), max(e)) for e in ((rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(150)) if e[0] != e[1]})
+    got = {r.node: r.label for r in graph.neighbourhoods(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == swept(edges)
 
 
 def test_pagerank_against_power_steps(spark):
@@ -144,9 +178,17 @@ def test_projection_is_stable():
 
 def test_capture_checks():
     lines = matching.lines_of("[1] me: we should keep it simple\n[2] S1: yes\n[3] me: and ship\nnot a line")
-    assert matching.check_capture(lines, "keep it simple", [1], "g", []) == []
-    assert matching.check_capture(lines, "Keep it, simple", [1], "g", []) == ["inexact"]
-    assert matching.check_capture(lines, "other words", [1, 2, 9], "", [("x", "y")]) == ["unknown_line", "not_me", "not_in_lines", "mishearing", "no_gist"]
+    check = lambda quote, cited, **x: matching.check_capture(lines, quote, cited, x.get("reading", "r"), x.get("gist", "g"), x.get("mishearings", []))
+    assert check("keep it  simple", [1]) == [] and check("and ship", [1, 3]) == []
+    assert check("Keep it, simple", [1]) == ["quote_inexact"]
+    assert check("yes", [1]) == ["quote_not_mine"] and check("simple yes", [1]) == ["quote_not_mine"]
+    assert check("keep it simple", [3]) == ["quote_lines_not_cited"]
+    assert check("other words", [2, 9], gist="", mishearings=[("x", "y")]) == ["quote_not_in_transcript", "cites_none_of_mine", "mishearing_not_in_quote", "mishearing_not_in_reading", "empty_field"]
+    assert check("", [1], mishearings=[]) == ["empty_field"]
+    both = matching.lines_of("about this\nTranscript:\n[7] me: keep\n[8] me: it simple\n[10] me: and more")
+    assert [n for n, _, _ in both] == [7, 8, 10] and matching.lines_of("[1] S1: a: b") == [(1, "S1", "a: b")]
+    assert matching.check_capture(both, "keep it", [7, 8], "r", "g") == [] and matching.check_capture(both, "keep it", [7], "r", "g") == ["quote_lines_not_cited"]
+    assert matching.check_capture(both, "simple and", [8, 10], "r", "g") == ["quote_not_mine"]  # not one stretch
 
 
 def test_kappa_and_empty(spark):

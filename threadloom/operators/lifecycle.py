@@ -89,10 +89,15 @@ def edge_label(connected: Column, same: Column, kinds: Mapping[str, Column], cut
     return F.when(connected < cut, "none").when(same >= half, "same").when(best["p"] >= half, best["k"]).otherwise("related")
 
 
-def typed_observations(events: DataFrame, observations: DataFrame) -> DataFrame:
-    """One observation for each idea first added by hand, if it has none yet."""
+def typed_observations(events: DataFrame, observations: DataFrame, ideas: DataFrame, merges: DataFrame) -> DataFrame:
+    """One observation for each idea of mine (``ideas``: idea_id, origin), from the
+    first event that added it, unless it has one or was merged away (``merges``:
+    other_id)."""
     first = events.where("kind = 'idea_add'").groupBy("idea_id").agg(F.min("event_id").alias("event_id"), F.min_by("at", "event_id").alias("said_at"))
-    return first.join(observations.where("source = 'typed'").select("idea_id"), "idea_id", "left_anti").select("idea_id", "said_at", F.lit("typed").alias("source"), F.lit("me").alias("said_by"))
+    own = first.join(ideas.where("origin = 'mine'").select("idea_id"), "idea_id", "left_semi")
+    for gone in (observations.where("source = 'typed'").select("idea_id"), merges.select(F.col("other_id").alias("idea_id"))):
+        own = own.join(gone, "idea_id", "left_anti")
+    return own.select("idea_id", "said_at", F.lit("typed").alias("source"), F.lit("me").alias("said_by"))
 
 
 def carried_by_observation(items: DataFrame, matches: DataFrame) -> DataFrame:
@@ -200,18 +205,18 @@ class ThemeLog:
 
 
 def theme_results(events: DataFrame, themes: DataFrame) -> DataFrame:
-    """(event_id, result) of the whole log in order: one state, so one group of
-    curation events (typed by hand, few)."""
-    named = [(r.theme_id, r.name, r.origin, r.status) for r in themes.orderBy("theme_id").limit(100_000).collect()]
+    """(event_id, result) of the whole log in order. Each event depends on names and
+    members left by those before it, so themes and curation events (typed by hand)
+    are one group; nothing goes through the driver."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, themes: pd.DataFrame) -> pd.DataFrame:
         log = ThemeLog()
-        for row in named:
-            log.add(*row)
+        for row in themes.sort_values("theme_id").itertuples():
+            log.add(row.theme_id, row.name, row.origin, row.status)
         out = [(e.event_id, log.apply(e.kind, e.theme_id, e.idea_id, e.other, e.name, tuple(e.ideas) if e.ideas is not None else ())) for e in pdf.sort_values("event_id").itertuples()]
         return pd.DataFrame(out, columns=["event_id", "result"])
 
-    return events.select("event_id", "kind", "theme_id", "idea_id", "other", "name", "ideas", F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "event_id long, result string")
+    return events.select("event_id", "kind", "theme_id", "idea_id", "other", "name", "ideas", F.lit(0).alias("one")).groupBy("one").cogroup(themes.select("theme_id", "name", "origin", "status", F.lit(0).alias("one")).groupBy("one")).applyInPandas(run, "event_id long, result string")
 
 
 def threads(edges: DataFrame, moments: DataFrame, least: int = 3, conversations: int = 2) -> DataFrame:

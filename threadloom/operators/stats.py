@@ -8,13 +8,13 @@ from pyspark.sql.window import Window
 
 
 def auc(rows: DataFrame, group: list[str], score: str, positive: str) -> DataFrame:
-    """(group, n_pos, n_neg, auc): ties count half. Rows are first counted by
+    """(group, n_pos, n_neg, auc) of groups with rows of both kinds: ties count half. Rows are first counted by
     score, so what is ranked grows with the number of different scores."""
     by_score = rows.groupBy(*group, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = by_score.withColumn("won", F.col("p") * (below + F.col("n") / 2))
     out = wins.groupBy(*group).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum("won").alias("won"))
-    return out.select(*group, "n_pos", "n_neg", F.round(F.when(F.col("n_pos") * F.col("n_neg") > 0, F.col("won") / (F.col("n_pos") * F.col("n_neg"))), 6).alias("auc"))
+    return out.where("n_pos > 0 AND n_neg > 0").select(*group, "n_pos", "n_neg", F.round(F.col("won") / (F.col("n_pos") * F.col("n_neg")), 6).alias("auc"))
 
 
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,11 +38,11 @@ def nominated_pairs(spark, sf_dir):
     return vectors.near_pairs(_nearest(spark, sf_dir, 10), 0.35).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
-@query(f"WITH {_SIM} SELECT id, other, rank, round(sim, 6) AS sim FROM nn WHERE id % 50 = 7 AND rank <= 8")
+@query(f"WITH {_SIM} SELECT id, other, rank, round(sim, 6) AS sim FROM nn WHERE id % 20 = 0 AND rank <= 8")
 def seed_neighbours(spark, sf_dir):
     """Neighbours of given seeds; k clamped to 1..50."""
     rows, k = table(spark, sf_dir, "embeddings"), max(1, min(8, 50))
-    return vectors.nearest(rows, k, "vec_id", "embedding", rows.where("vec_id % 50 = 7")).select("id", "other", F.col("rank").cast("long"), F.round("sim", 6).alias("sim"))
+    return vectors.nearest(rows, k, "vec_id", "embedding", rows.where("vec_id % 20 = 0")).select("id", "other", F.col("rank").cast("long"), F.round("sim", 6).alias("sim"))
 
 
 @query("SELECT label, n FROM (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS r FROM embeddings GROUP BY 1) WHERE r = 1")
@@ -70,15 +69,13 @@ def pair_sets(spark, sf_dir):
     return tag("near", pairs(5)).unionByName(tag("wide", wide)).unionByName(tag("apart", apart))
 
 
-@query(f"WITH {_SIM} SELECT id, other AS partner, rank FROM nn WHERE id % 100 = 0 AND other = id + 1")
+@query(f"WITH {_SIM} SELECT id, other AS partner, rank FROM nn WHERE id % 20 = 0 AND other = id + 1")
 def partner_rank(spark, sf_dir):
-    """The rank of one partner: how many rows are nearer, counted."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.normalised(F.col("embedding")).alias("v"))
-    asked = rows.where("id % 100 = 0")
-    pair = asked.join(rows.select((F.col("id") - 1).alias("id"), F.col("v").alias("pv")), "id").select("id", "v", F.round(vectors.dot(F.col("v"), F.col("pv")), 9).alias("own"))
-    all_ = vectors.nearest(table(spark, sf_dir, "embeddings"), 1 << 20, "vec_id", "embedding", table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0"))
-    nearer = pair.join(all_, "id").where((F.col("sim") > F.col("own")) | ((F.col("sim") == F.col("own")) & (F.col("other") < F.col("id") + 1)))
-    return pair.join(nearer.groupBy("id").agg(F.count("*").alias("n")), "id", "left").select("id", (F.col("id") + 1).alias("partner"), (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+    """The rank of one partner: how many rows are nearer, counted where they
+    stand; no list of neighbours is made."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select("vec_id", "embedding").join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("partner"), F.col("embedding").alias("partner_vector")), "vec_id")
+    return vectors.rank_of(rows, asked, "vec_id", "embedding", "partner", "partner_vector").select("id", "partner", "rank")
 
 
 @query(f"WITH {_EDGES} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1")
@@ -153,22 +150,22 @@ _CHAIN = "chain AS (SELECT * FROM (SELECT o_orderkey AS src, lag(o_orderkey) OVE
 
 
 @query(f"""
-WITH RECURSIVE {_CHAIN}, r AS (SELECT o_orderkey AS node, o_orderkey AS reached FROM orders WHERE o_orderkey % 97 = 5 UNION SELECT r.node, c.dst FROM r JOIN chain c ON r.reached = c.src)
+WITH RECURSIVE {_CHAIN}, r AS (SELECT o_orderkey AS node, o_orderkey AS reached FROM orders UNION SELECT r.node, c.dst FROM r JOIN chain c ON r.reached = c.src)
 SELECT node, count(*) AS reached, min(reached) AS oldest FROM r GROUP BY 1
 """)
 def ancestor_closure(spark, sf_dir):
     """Set semantics, safe on cycles."""
-    seed = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 5").select(F.col("o_orderkey").alias("node"))
+    seed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))
     return primitives.closure(_chain(spark, sf_dir), seed).groupBy("node").agg(F.count("*").alias("reached"), F.min("reached").alias("oldest"))
 
 
 @query(f"""
-WITH RECURSIVE {_CHAIN}, r AS (SELECT o_orderkey AS node, o_orderkey AS reached FROM orders WHERE o_orderkey % 97 = 5 UNION SELECT r.node, c.src FROM r JOIN chain c ON r.reached = c.dst)
+WITH RECURSIVE {_CHAIN}, r AS (SELECT o_orderkey AS node, o_orderkey AS reached FROM orders UNION SELECT r.node, c.src FROM r JOIN chain c ON r.reached = c.dst)
 SELECT node, count(*) AS reached, max(reached) AS newest FROM r GROUP BY 1
 """)
 def descendants(spark, sf_dir):
     """J2, J3."""
-    seed = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 5").select(F.col("o_orderkey").alias("node"))
+    seed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))
     down = _chain(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return primitives.closure(down, seed).groupBy("node").agg(F.count("*").alias("reached"), F.max("reached").alias("newest"))
 
@@ -200,22 +197,7 @@ def repointed_edges(spark, sf_dir):
 
 @query()
 def projection(spark, sf_dir):
-    """The principal plane of one label's vectors, others placed by
-    their nearest placed ones. The covariance is summed by the cluster; only a
-    matrix of dimension squared comes to the driver."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.normalised(F.col("embedding")).alias("v"))
-    dim = len(rows.head().v)
-    pairs = rows.select(F.posexplode("v").alias("i", "x"), "v").select("i", F.posexplode("v").alias("j", "y"), "x")
-    moments = pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
-    means = np.array([r.m for r in rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()])
-    cov = np.zeros((dim, dim))
-    for r in moments:
-        cov[r.i, r.j] = r.s
-    n = rows.count()
-    _, axes = np.linalg.eigh(cov / n - np.outer(means, means))
-    plane = axes[:, -2:][:, ::-1]
-    plane = plane * np.sign(plane[np.abs(plane).argmax(axis=0), [0, 1]])
-    on = lambda k: vectors.dot(F.zip_with("v", F.array(*map(F.lit, means.tolist())), lambda x, m: x - m), F.array(*map(F.lit, plane[:, k].tolist())))
-    flat = rows.select("vec_id", on(0).alias("x"), on(1).alias("y"))
-    most = flat.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("most"))
-    return flat.crossJoin(F.broadcast(most)).select("vec_id", F.round(F.col("x") / F.col("most"), 4).alias("x"), F.round(F.col("y") / F.col("most"), 4).alias("y"))
+    """All vectors on their principal plane, scaled to a largest coordinate
+    of 1. Each task sums its outer products; only a matrix of dimension squared
+    comes to the driver."""
+    return vectors.on_plane(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
