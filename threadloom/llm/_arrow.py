@@ -18,14 +18,17 @@ SLICE_BYTES = 1 << 19
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor can
-    reach. Where that is unset (tests), the session gets a local one."""
+    reach. Where that is unset, a session on one machine gets a local one, and
+    any other an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context_dir.isDefined():
             root = context_dir.get()
         else:
-            import tempfile
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile  # one machine: tests and trials
 
             root = "file://" + tempfile.mkdtemp(prefix="threadloom-")
             spark.sparkContext.setCheckpointDir(root)

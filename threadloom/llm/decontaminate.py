@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._arrow import bounded_batches, give_back, mix64, slices, span_hashes, text_buffers
+from threadloom.llm._arrow import bounded_batches, give_back, mix64, slices, span_hashes, text_buffers, written
 from threadloom.llm._fold import folded
 
 #: Words of units (fixed values).
@@ -220,6 +220,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: floa
     ``changed``: with other slot values."""
     out = None
     for items in _blocks(benchmark, item_col, item_text_col):
+        if out is not None:
+            out = written(out)  # one block's items are held at a time
         part = _pass(docs, items, k, share, id_col, text_col)
         out = part if out is None else out.unionByName(part)
     return out
@@ -227,8 +229,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: floa
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns as they are."""
-    for items in _blocks(benchmark, item_col, item_text_col):
-        docs = _without(docs, items, k, share, text_col)
+    for n, items in enumerate(_blocks(benchmark, item_col, item_text_col)):
+        docs = _without(written(docs) if n else docs, items, k, share, text_col)
     return docs
 
 

@@ -160,13 +160,21 @@ def _lettered(texts: list[str], raw: np.ndarray, offs: np.ndarray) -> np.ndarray
     return has
 
 
-def train(labelled: DataFrame, per_language: int = 400, text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from a bounded sample of ``labelled``; None if it has no rows."""
+def train(labelled: DataFrame, per_language: int = 400, sample_rows: int = 8_000, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model from a bounded sample of ``labelled``: of each language the
+    ``per_language`` different texts of smallest hash, or fewer where there are so
+    many languages that these were more than ``sample_rows`` (one each at least).
+    None if there are no rows. Copies of a text count once."""
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    # only hashes are ranked; each side of the exchange keeps the smallest
-    cut = rows.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
-    cut = cut.groupBy("lang").agg(F.max("h").alias("most"))
-    some = rows.join(F.broadcast(cut.limit(10_000)), "lang").where("h <= most")
+    # the share of hashes to look at comes from a partial aggregate, so that no
+    # language, however large, is ranked whole in one task
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("d")).withColumn("langs", F.count("*").over(Window.partitionBy()))
+    each = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(F.lit(sample_rows) / F.col("langs"))))
+    share = F.least(F.lit(1.0), 2 * (each + 32) / F.col("d"))
+    # a row for each language: there are fewer than the model has pairs of them
+    cut = many.select("lang", each.alias("each"), (share * 2.0**63).alias("below"))
+    some = rows.join(F.broadcast(cut), "lang").where(F.abs(F.col("h").cast("double")) <= F.col("below"))
+    one = some.groupBy("lang", "h", "each").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +182,8 @@ def train(labelled: DataFrame, per_language: int = 400, text_col: str = "text",
             got = _features(raw[offs[0] :] if len(offs) else raw, offs - offs[0]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in got], pa.binary())], names=["lang", "x"])
 
-    # rows with equal texts share a hash: bounded here again, by rows
     order = Window.partitionBy("lang").orderBy("h")
-    sample = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text")
+    sample = one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("each")).select("lang", "text")
     got = sample.mapInArrow(run, "lang string, x binary").collect()
     if not got:
         return None

@@ -1,13 +1,14 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of tokens. In each round a queue gets a quantum, its
-target share of a window, and sends whole tokens; what it couldn't send stays as
-a deficit for the next round. A round sends about one window, and the stream of
-rounds is cut every ``window`` tokens, so every window has the target mixture
-to within a token or two for each queue, and only the last one is not full.
+target share of a window, and sends whole stretches of a 64th of a window; what it
+couldn't send stays as a deficit for the next round. A round sends about one
+window, and the stream of rounds is cut every ``window`` tokens, so every window has
+the target mixture to within two stretches for each queue, however many queues
+there are, and only the last one is not full.
 
 Because a queue always has tokens until it drains, what it has sent after r
-rounds is floor(r * quantum): its deficits over all windows and partitions are
+rounds is r * quantum, rounded down to a stretch: its deficits over all windows and partitions are
 closed form. So a task needs no other task's rows, only where its own rows
 begin in their queues: one small table of tokens for each partition and source.
 When queues drain (with given targets at very different times, with the
@@ -40,8 +41,11 @@ from threadloom.llm._arrow import SLICE_BYTES, bounded_batches, give_back, slice
 
 #: Shares are multiples of 1 / UNITS.
 UNITS = 1 << 18
-#: Sources beyond so many, the smallest by tokens, share one more queue.
+#: Sources beyond so many, the smallest by tokens, share one more queue, whose
+#: weight is the sum of theirs.
 MAX_QUEUES = 1023
+#: Numbers in an array of rounds and queues.
+CELLS = 1 << 19
 #: A row of the token table holds so many tokens at most.
 CHUNK = 1 << 16
 #: The table of where queues begin is broadcast up to so many rows (24 bytes each).
@@ -52,19 +56,22 @@ REST = "\x00rest"
 @dataclass
 class Phase:
     """Rounds with the same queues. ``sent``: tokens of each queue before the
-    phase; ``left``: what it has; ``rounds``: how many there are."""
+    phase; ``left``: what it has; ``rounds``: how many there are; ``stretch``: tokens
+    that are sent at once."""
 
     base: int
     sent: np.ndarray
     left: np.ndarray
     units: np.ndarray
     rounds: int
+    stretch: int
 
     def after(self, rounds: np.ndarray, window: int) -> np.ndarray:
         """Tokens that each queue has sent in the phase after so many rounds."""
         whole, part = np.divmod(self.units * window, UNITS)
         r = rounds[:, None]
-        return np.minimum(r * whole + r * part // UNITS, self.left)
+        sent = r * whole + r * part // UNITS
+        return np.minimum(sent - sent % self.stretch, self.left)
 
 
 def share_units(weights: np.ndarray) -> np.ndarray:
@@ -79,13 +86,13 @@ def share_units(weights: np.ndarray) -> np.ndarray:
 def schedule(tokens: list[int], weights: list[float], window: int) -> list[Phase]:
     """The phases for queues of so many tokens with these target weights."""
     left, sent, target = np.array(tokens, np.int64), np.zeros(len(tokens), np.int64), np.array(weights, float)
-    phases, base = [], 0
+    phases, base, stretch = [], 0, max(1, window // 64)
     while left.any():
         active = left > 0
         units = np.zeros(len(left), np.int64)
         units[active] = share_units(target[active])
-        rounds = min(-(-int(n) * UNITS // (int(u) * window)) for n, u in zip(left[active], units[active]))
-        phase = Phase(base, sent.copy(), left.copy(), units, rounds)
+        rounds = min(-(-(-(-int(n) // stretch) * stretch * UNITS) // (int(u) * window)) for n, u in zip(left[active], units[active]))
+        phase = Phase(base, sent.copy(), left.copy(), units, rounds, stretch)
         took = phase.after(np.array([rounds], np.int64), window)[0]
         phases.append(phase)
         sent, left, base = sent + took, left - took, base + int(took.sum())
@@ -107,21 +114,24 @@ def place(queue: np.ndarray, begin: np.ndarray, length: np.ndarray, phases: list
             continue
         lo, hi, q = lo[run], hi[run], queue[run]
         quantum = phase.units[q] * window
-        of = lambda o: -(-(o + 1) * UNITS // quantum) - 1  # noqa: E731  the round that sends token o
+        of = lambda o: -(-(o // phase.stretch + 1) * phase.stretch * UNITS // quantum) - 1  # noqa: B023, E731  the round that sends token o
         first, last = of(lo), of(hi - 1)
         many = last - first + 1
         rep = np.repeat(np.arange(len(run)), many)
         rounds = first[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
-        seen, which = np.unique(rounds, return_inverse=True)
-        before, then = phase.after(seen, window), phase.after(seen + 1, window)
-        gain = then - before
-        start = before.sum(axis=1)[:, None] + np.cumsum(gain, axis=1) - gain
-        qr = q[rep]
-        a = np.maximum(lo[rep], before[which, qr])
-        b = np.minimum(hi[rep], then[which, qr])
-        keep = a < b
-        rep, which, qr, a, b = rep[keep], which[keep], qr[keep], a[keep], b[keep]
-        out.append((run[rep], a + at[run[rep]] - begin[run[rep]], b - a, phase.base + start[which, qr] + a - before[which, qr]))
+        some = max(1, CELLS // len(phase.left))  # rounds at once: bounds the arrays of rounds and queues
+        for x in range(0, len(rep), some):
+            rp = rep[x : x + some]
+            seen, which = np.unique(rounds[x : x + some], return_inverse=True)
+            before, then = phase.after(seen, window), phase.after(seen + 1, window)
+            gain = then - before
+            start = before.sum(axis=1)[:, None] + np.cumsum(gain, axis=1) - gain
+            qr = q[rp]
+            a = np.maximum(lo[rp], before[which, qr])
+            b = np.minimum(hi[rp], then[which, qr])
+            keep = a < b
+            rp, which, qr, a, b = rp[keep], which[keep], qr[keep], a[keep], b[keep]
+            out.append((run[rp], a + at[run[rp]] - begin[run[rp]], b - a, phase.base + start[which, qr] + a - before[which, qr]))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -201,7 +211,11 @@ def pack(
     if rest:
         queues, sizes = [*queues, REST], [*sizes, rest]
     given = {"s" + k: v for k, v in (targets or {}).items()}
-    phases = schedule(sizes, [given.get(k, float(n)) for k, n in zip(queues, sizes)], window)
+    weights = [given.get(k, float(n)) for k, n in zip(queues, sizes)]
+    if rest and (small := sorted(set(given) - set(queues))):
+        own = {r.key: r.n for r in totals.where(F.col("key").isin(small)).collect()}
+        weights[-1] += sum(given[k] - n for k, n in own.items())
+    phases = schedule(sizes, [max(w, 1e-9) for w in weights], window)
 
     spark = df.sparkSession
     names = spark.createDataFrame(list(zip(queues, range(len(queues)))) or [("", 0)], "key string, queue int")

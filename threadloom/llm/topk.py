@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.llm._arrow import written
+
 #: Queries in a block: the bound of what is broadcast at once.
 BLOCK = 4096
 #: Rows scored at once; bounds a task's matrices.
@@ -73,9 +75,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     rows = scaled(vectors, id_col, vector_col, scale)
     asked = scaled(queries, id_col, vector_col, scale).dropDuplicates(["id"])
     ordered = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // (BLOCK // 2))))))
+    blocks = max(1, -(-asked.count() // (BLOCK // 2)))
     out = None
-    for block in range(max(1, -(-asked.count() // (BLOCK // 2)))):
+    for block in range(blocks):
         found = _block(spark, rows, ordered.where(F.col("block") == block), k, lists)
+        found = written(found) if blocks > 1 else found  # one block's vectors are held at a time
         out = found if out is None else out.unionByName(found)
     return out
 
