@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read
-    back, which cuts its lineage and survives lost executors."""
+    back, which cuts its lineage and survives lost executors. Where that is unset,
+    a session on one machine gets a local folder, and any other an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -21,7 +22,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if held.isDefined():
             root = held.get()
         else:
-            import tempfile
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile  # one machine: tests and trials
 
             root = "file://" + tempfile.mkdtemp(prefix="threadloom-")
             spark.sparkContext.setCheckpointDir(root)
