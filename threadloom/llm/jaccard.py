@@ -231,6 +231,19 @@ def _bounded(pairs: DataFrame, pct: int) -> DataFrame:
     return pairs.select("x", "y").mapInArrow(run, "a long, b long")
 
 
+def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cid, text) the first of each class in a task, so that rows repeated
+    as they are don't travel; there are BROADCAST_ROWS classes at most."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for i, cid in enumerate(batch.column(0).to_pylist()):
+            if cid not in seen:
+                seen.add(cid)
+                new.append(i)
+        yield batch.take(pa.array(new, pa.int64()))
+
+
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
     """(a, b, ta, tb, linked) of distinct pairs (a, b, ta, tb) of classes, whose
     sets are compared whole. Written to the shared folder."""
@@ -241,18 +254,23 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pct: i
     left = hot.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *none)
     roles = written(left.unionByName(dealt))
     wanted = written(classes.select("cid", "rk", "rk2").join(roles.select("cid").distinct(), "cid"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, ["rk", "rk2"]).groupBy("cid").agg(F.min("text").alias("text"))  # copies with one id are alike
+    if roles.count() <= BROADCAST_ROWS:  # more than are wanted: texts move once, to their partners
+        texts = docs.join(F.broadcast(wanted), ["rk", "rk2"]).select("cid", "text").mapInArrow(_first_in_task, "cid long, text string")
+        roles = F.broadcast(roles)
+    else:  # rows with the same id and text are alike: one goes on
+        texts = docs.join(wanted, ["rk", "rk2"]).groupBy("rk", "rk2", "cid").agg(F.min("text").alias("text"))
     rows = texts.join(roles, "cid").select("a", "salt", "b", "ta", "tb", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, whose = np.zeros(0, np.uint64), None
+        held, whose, last = np.zeros(0, np.uint64), None, None
         for some, values, at in _sets(batches, 5, k):
             out = []
             for i, (a, salt, b, ta, tb) in enumerate(zip(*(some.column(c).to_pylist() for c in range(5)))):
                 own = values[at[i] : at[i + 1]]
+                if (a, salt, b) == last:
+                    continue  # the same row from another task
+                last = a, salt, b
                 if b is None:
                     held, whose = own, (a, salt)
                     continue
@@ -333,10 +351,12 @@ def _first_pairs(tokens: DataFrame, state: DataFrame, pct: int) -> DataFrame:
 
 
 def _merged(state: DataFrame, found: DataFrame) -> DataFrame:
-    """``state`` with linked families as one."""
-    top = components(found.where("linked").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
-    joined = state.join(top.withColumnRenamed("node", "top"), "top", "left")
-    return written(joined.select("cid", "gid", F.coalesce("root", "top").alias("top"), "n", *BITS))
+    """``state`` with linked families as one: written only where the changed ones are
+    too many to broadcast."""
+    top = components(found.where("linked").select(F.col("ta").alias("a"), F.col("tb").alias("b"))).withColumnRenamed("node", "top")
+    few = top.count() <= BROADCAST_ROWS
+    joined = state.join(F.broadcast(top) if few else top, "top", "left").select("cid", "gid", F.coalesce("root", "top").alias("top"), "n", *BITS)
+    return joined if few else written(joined)
 
 
 def _candidates(tokens: DataFrame, state: DataFrame, pct: int, best_only: bool) -> DataFrame:
