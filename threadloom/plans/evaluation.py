@@ -29,7 +29,7 @@ WITH t AS (SELECT count(*) AS n, avg((quality = toxic)::INT) AS po, (sum((qualit
 SELECT n, round(po, 6)::DOUBLE AS agreement, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6)::DOUBLE AS kappa FROM t
 """)
 def kappa(spark, sf_dir):
-    """P2, P10, D14."""
+    """P2."""
     return stats.kappa(table(spark, sf_dir, "labels"), "quality", "toxic")
 
 
@@ -38,7 +38,7 @@ WITH {_L}, g AS (SELECT lang, sum(toxic)::DOUBLE AS k, count(*)::DOUBLE AS n FRO
 SELECT lang, round((k / n + 3.8416 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low, round((k / n + 3.8416 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high FROM g
 """)
 def wilson(spark, sf_dir):
-    """P3, P8, P11."""
+    """P3, P8."""
     g = _labelled(spark, sf_dir).groupBy("lang").agg(F.sum("toxic").cast("double").alias("k"), F.count("*").cast("double").alias("n"))
     low, high = stats.wilson(F.col("k"), F.col("n"))
     return g.select("lang", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))

@@ -82,7 +82,7 @@ SELECT conv_id, turn, CASE WHEN len(w) > 8 THEN array_to_string(w[1:8], ' ') ||
 FROM (SELECT *, regexp_split_to_array(trim(text), '\\s+') AS w FROM conversations)
 """)
 def titles(spark, sf_dir):
-    """B13, B14, B34, B35, B36."""
+    """B13, B35."""
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", text.title(F.col("text")).alias("title"), F.regexp_replace(text.escaped(F.regexp_replace(F.substring("text", 1, 40), "'|\"", "")), "'|\"", "").alias("shown"))
 
@@ -91,7 +91,7 @@ def titles(spark, sf_dir):
 SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, length(html) AS n, (length(html) - length(replace(html, '<p', ''))) // 2 AS paragraphs, regexp_matches(html, '(?i)<script') AS scripted, url LIKE 'https:%' AS secure FROM pages
 """)
 def page_scan(spark, sf_dir):
-    """A raw text scan with patterns."""
+    """A raw text scan with patterns."""
     p = table(spark, sf_dir, "pages")
     return p.select(
         "page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length("html").cast("long").alias("n"),
