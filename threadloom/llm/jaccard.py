@@ -351,12 +351,9 @@ def _first_pairs(tokens: DataFrame, state: DataFrame, pct: int) -> DataFrame:
 
 
 def _merged(state: DataFrame, found: DataFrame) -> DataFrame:
-    """``state`` with linked families as one: written only where the changed ones are
-    too many to broadcast."""
+    """``state`` with linked families as one."""
     top = components(found.where("linked").select(F.col("ta").alias("a"), F.col("tb").alias("b"))).withColumnRenamed("node", "top")
-    few = top.count() <= BROADCAST_ROWS
-    joined = state.join(F.broadcast(top) if few else top, "top", "left").select("cid", "gid", F.coalesce("root", "top").alias("top"), "n", *BITS)
-    return joined if few else written(joined)
+    return written(state.join(top, "top", "left").select("cid", "gid", F.coalesce("root", "top").alias("top"), "n", *BITS))
 
 
 def _candidates(tokens: DataFrame, state: DataFrame, pct: int, best_only: bool) -> DataFrame:
