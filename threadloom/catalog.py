@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import REGISTRY, eventlog, evaluation, graphs, matching, readmodel, relational, table, timeline, transcripts  # noqa: F401
+from threadloom.plans import REGISTRY, audits, eventlog, evaluation, graphs, matching, readmodel, relational, table, timeline, transcripts  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
