@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from threadloom.functions.text import squeezed
 from threadloom.operators import vectors
 from threadloom.primitives import explode_bridge, ranked
 
@@ -13,6 +15,8 @@ THEME_KINDS = ("pin_theme", "unpin_theme", "rename_theme", "reject_theme", "merg
 MIN_GROUP = 3
 WORDING_TOP = 10
 LINES_NEAR = 50
+GRID_CARDS = 3
+LIMITS = {"title": 120, "statement": 1000, "note": 1000}
 
 
 def pooled(marks: DataFrame) -> DataFrame:
@@ -118,3 +122,74 @@ def proposed_themes(proposals: DataFrame, taken: DataFrame) -> DataFrame:
     rows = rows.join(taken.select(F.lower("name").alias("lower")).distinct(), "lower", "left_anti")
     first = rows.groupBy("answer", "lower").agg(F.min(F.struct("ord", "name", "description", "members")).alias("x"))
     return first.select("answer", "x.*")
+
+
+def grid_cells(members: DataFrame, sky: DataFrame) -> DataFrame:
+    """(cell, id, place, px, py, hue) of members (cell, id, first_said, x, y) of cells
+    of GRID_CARDS cards or more: each where the sky puts it, scaled to 14..86 and centred
+    on the shorter side; one without a place stands on a ring around the middle of the sky
+    (id, x, y). y points down. Places are from 0, by first_said (null last), then id."""
+    middle = sky.where("x IS NOT NULL").agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("mx"), F.coalesce(-F.avg("y"), F.lit(0.0)).alias("my"))
+    large = members.groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") >= GRID_CARDS).select("cell")
+    rows = members.join(large, "cell").withColumn("place", ranked(["cell"], F.col("first_said").asc_nulls_last(), "id") - 1)
+    rows = rows.crossJoin(F.broadcast(middle))  # one row
+    rows = rows.withColumns({"sx": F.coalesce("x", F.col("mx") + F.cos("place")), "sy": F.coalesce(-F.col("y"), F.col("my") + F.sin("place"))})
+    box = rows.groupBy("cell").agg(F.min("sx").alias("x0"), F.min("sy").alias("y0"), (F.max("sx") - F.min("sx")).alias("w"), (F.max("sy") - F.min("sy")).alias("h"))
+    rows = rows.join(box, "cell").withColumn("wide", F.greatest("w", "h", F.lit(1e-6)))
+    put = lambda s, s0, side: F.round(14 + 72 * (F.col(s) - F.col(s0) + (F.col("wide") - F.col(side)) / 2) / F.col("wide"), 1)
+    hue = F.round(F.pmod(F.degrees(F.atan2(F.col("sy") - F.col("my"), F.col("sx") - F.col("mx"))), F.lit(360.0))).cast("int")
+    return rows.select("cell", "id", "place", put("sx", "x0", "w").alias("px"), put("sy", "y0", "h").alias("py"), hue.alias("hue"))
+
+
+def corrections(edits: DataFrame) -> DataFrame:
+    """(idea_id, kind, payload) events of edits (idea_id, title, statement, note), with
+    the fields given (not null) alone; an empty one goes back to the original. An edit
+    without a field, or with one that is too long, is an error."""
+    rows = edits.select("idea_id", *[F.regexp_replace(c, r"^\s+|\s+$", "").alias(c) for c in LIMITS])
+    wrong = F.when(F.coalesce(*LIMITS).isNull(), "nothing to change: give a title, statement or note")
+    for c, most in LIMITS.items():
+        wrong = wrong.when(F.length(c) > most, F.concat(F.lit(f"the {c} is "), F.length(c).cast("string"), F.lit(f" characters; at most {most}")))
+    wrong = wrong.otherwise(None)
+    card = F.when(F.coalesce("title", "statement").isNotNull(), F.struct(F.lit("idea_correct").alias("kind"), F.to_json(F.struct("title", "statement")).alias("payload")))
+    note = F.when(F.col("note").isNotNull(), F.struct(F.lit("idea_note").alias("kind"), F.to_json(F.struct("note")).alias("payload")))
+    events = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("array<struct<kind:string,payload:string>>")).otherwise(F.array_compact(F.array(card, note)))
+    return rows.select("idea_id", F.inline(events))
+
+
+def hints(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, heard, meant, status, seen) of pairs (heard, meant, status, seen) that
+    aren't rejected and whose heard words are in a text (id, text), as whole words in any
+    case. A text meets a pair by the first word heard, then the whole is looked for;
+    pairs without a word character meet all texts."""
+    word = r"(?U)\w+"
+    asked = pairs.where("status <> 'rejected'").withColumn("word", F.regexp_extract(F.lower("heard"), word, 0))
+    words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)), F.array(F.lit(""))))
+    met = texts.select("id", "text", F.explode(words).alias("word")).join(asked, "word")
+    quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace("heard", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    return met.where(F.regexp_like("text", quoted)).select("id", "heard", "meant", "status", "seen")
+
+
+def visible_by_day(cards: DataFrame) -> DataFrame:
+    """(day, visible): how many cards are visible at the end of each day on which one
+    was first said; cards without first_said never are. Days are counted first."""
+    days = cards.where("first_said IS NOT NULL").groupBy(F.to_date("first_said").alias("day")).agg(F.count("*").alias("n"))
+    return days.select("day", F.sum("n").over(Window.orderBy("day")).alias("visible"))
+
+
+def sheet_differences(export: DataFrame, sheet: DataFrame) -> DataFrame:
+    """K9: (n, why) of numbers by which a sheet (n, sent, quote) isn't the export (n, at,
+    text): one side lacks it, or the minute or the text, but for white space, differs."""
+    both = export.select("n", "at", "text", F.lit(True).alias("e")).join(sheet.select("n", "sent", "quote", F.lit(True).alias("s")), "n", "full")
+    why = F.when(F.col("e").isNull(), "not in the export").when(F.col("s").isNull(), "not on the sheet")
+    why = why.when(~F.date_format("at", "yyyy-MM-dd HH:mm").eqNullSafe(F.col("sent")), "minute").when(~squeezed(F.col("text")).eqNullSafe(squeezed(F.col("quote"))), "text")
+    return both.withColumn("why", why).where("why IS NOT NULL").select("n", "why")
+
+
+def curated(export: DataFrame, sheet: DataFrame) -> DataFrame:
+    """K9: (n, at, text, edited) of the messages that a sheet (n, sent, quote, mark, text)
+    doesn't drop, with the text edited in; an error if it isn't the export's sheet."""
+    wrong = sheet_differences(export, sheet).agg(F.min(F.struct("n", "why")).alias("x"))
+    wrong = wrong.select(F.when(F.col("x").isNotNull(), F.raise_error(F.concat(F.lit("message "), F.col("x.n").cast("string"), F.lit(": "), F.col("x.why"))).cast("boolean")).otherwise(F.lit(True)).alias("same"))
+    kept = export.join(sheet.select("n", "mark", F.col("text").alias("edit")), "n").where("mark <> 'drop'")
+    edited = F.col("mark") == "edit"
+    return kept.crossJoin(F.broadcast(wrong)).where("same").select("n", "at", F.when(edited, F.col("edit")).otherwise(F.col("text")).alias("text"), edited.alias("edited"))  # one row

@@ -127,3 +127,69 @@ def proposed_themes(spark, sf_dir):
     p = o.select(F.col("o_custkey").alias("answer"), k.alias("ord"), name.alias("name"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("d"), k.cast("string"))).alias("description"), ideas.alias("ideas"), F.array(*[F.lit(f"i{i}") for i in range(1, 5)]).alias("loose"))
     taken = o.where("o_orderpriority LIKE '3-%'").select(F.col("o_orderpriority").alias("name")).distinct()
     return audits.proposed_themes(p, taken).withColumn("members", F.array_join("members", ","))
+
+
+@query("""
+WITH m AS (SELECT label AS cell, vec_id AS id, CASE WHEN vec_id % 9 <> 4 THEN vec_id * 7919 % 1009 END AS first_said, CASE WHEN vec_id % 10 <> 0 THEN embedding[1]::DOUBLE END AS x, CASE WHEN vec_id % 10 <> 0 THEN embedding[2]::DOUBLE END AS y FROM embeddings),
+c AS (SELECT avg(x) AS mx, -avg(y) AS my FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY first_said NULLS LAST, id) - 1 AS place, count(*) OVER (PARTITION BY cell) AS n FROM m),
+s AS (SELECT p.*, mx, my, coalesce(x, mx + cos(place)) AS sx, coalesce(-y, my + sin(place)) AS sy FROM p, c WHERE n >= 3),
+b AS (SELECT *, min(sx) OVER w AS x0, min(sy) OVER w AS y0, max(sx) OVER w - min(sx) OVER w AS dx, max(sy) OVER w - min(sy) OVER w AS dy FROM s WINDOW w AS (PARTITION BY cell)),
+e AS (SELECT *, greatest(dx, dy, 1e-6) AS wide, degrees(atan2(sy - my, sx - mx)) AS turn FROM b)
+SELECT cell, id, place, round(14 + 72 * (sx - x0 + (wide - dx) / 2) / wide, 1) AS px, round(14 + 72 * (sy - y0 + (wide - dy) / 2) / wide, 1) AS py, round(CASE WHEN turn < 0 THEN turn + 360 ELSE turn END)::INT AS hue FROM e
+""")
+def grid_cells(spark, sf_dir):
+    """A label's vectors are a cell, their first two components the sky."""
+    k, placed = F.col("vec_id"), F.col("vec_id") % 10 != 0
+    at = lambda i: F.when(placed, F.element_at("embedding", i).cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cell"), k.alias("id"), F.when(k % 9 != 4, k * 7919 % 1009).alias("first_said"), at(1).alias("x"), at(2).alias("y"))
+    return audits.grid_cells(rows, rows.select("id", "x", "y")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""
+WITH e AS (SELECT p_partkey AS idea_id, CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_name || ' ' END AS title, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS statement, CASE p_partkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'a note' WHEN 5 THEN 'another' END AS note FROM part)
+SELECT idea_id, 'idea_correct' AS kind, '{' || concat_ws(',', '"title":"' || trim(title) || '"', '"statement":"' || statement || '"') || '}' AS payload FROM e WHERE title IS NOT NULL OR statement IS NOT NULL
+UNION ALL SELECT idea_id, 'idea_note', '{"note":"' || trim(note) || '"}' FROM e WHERE note IS NOT NULL
+""")
+def corrections(spark, sf_dir):
+    """N12."""
+    k = F.col("p_partkey")
+    note = F.when(k % 6 == 0, " ").when(k % 6 == 1, "a note").when(k % 6 == 5, "another")
+    title = F.when(k % 2 == 0, F.concat(F.lit(" "), "p_name", F.lit(" ")))
+    return audits.corrections(table(spark, sf_dir, "part").select(k.alias("idea_id"), title.alias("title"), F.when(k % 3 == 0, F.col("p_type")).alias("statement"), note.alias("note")))
+
+
+@query(r"""
+WITH c AS (SELECT conv_id * 100 + turn AS id, coalesce(text, '') AS text FROM conversations), f AS (SELECT regexp_extract(lower(text), '[\p{L}\p{N}_]+') AS w, count(*) AS seen FROM c GROUP BY 1),
+p AS (SELECT upper(w) AS heard, w || '!' AS meant, CASE seen % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'confirmed' ELSE 'provisional' END AS status, seen FROM f WHERE regexp_full_match(w, '[a-z]+')),
+t AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM c)
+SELECT id, heard, meant, status, seen FROM t JOIN p ON heard = upper(w) AND lower(heard) = w WHERE status <> 'rejected'
+""")
+def mishearing_hints(spark, sf_dir):
+    """The words that turns begin with are heard."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    f = c.groupBy(F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}_]+", 0).alias("w")).agg(F.count("*").alias("seen")).where(F.col("w").rlike("^[a-z]+$"))
+    status = F.when(F.col("seen") % 3 == 0, "rejected").when(F.col("seen") % 3 == 1, "confirmed").otherwise("provisional")
+    return audits.hints(c, f.select(F.upper("w").alias("heard"), F.concat("w", F.lit("!")).alias("meant"), status.alias("status"), "seen"))
+
+
+@query("""
+WITH d AS (SELECT o_custkey, min(o_orderdate)::DATE AS day FROM orders GROUP BY 1), n AS (SELECT day, count(*) AS n FROM d GROUP BY 1)
+SELECT day, (sum(n) OVER (ORDER BY day))::BIGINT AS visible FROM n
+""")
+def replay(spark, sf_dir):
+    """G21."""
+    return audits.visible_by_day(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_said")))
+
+
+@query("""
+SELECT n, epoch_us(sent_at) AS at_us, text, mark = 'edit' AS edited FROM (SELECT o_orderkey AS n, o_orderdate::TIMESTAMP AS sent_at, CASE WHEN o_orderkey % 3 = 1 THEN 'edited ' || o_orderkey ELSE o_orderpriority || '  by ' || o_orderstatus END AS text, CASE o_orderkey % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'edit' ELSE 'drop' END AS mark FROM orders) WHERE mark <> 'drop'
+""")
+def curated(spark, sf_dir):
+    """K9."""
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    at = F.col("o_orderdate").cast("timestamp")
+    export = o.select(k.alias("n"), at.alias("at"), F.concat("o_orderpriority", F.lit("  by "), "o_orderstatus").alias("text"))
+    mark = F.when(k % 3 == 0, "keep").when(k % 3 == 1, "edit").otherwise("drop")
+    sheet = o.select(k.alias("n"), F.date_format(at, "yyyy-MM-dd HH:mm").alias("sent"), F.concat("o_orderpriority", F.lit(" by\n"), "o_orderstatus").alias("quote"), mark.alias("mark"), F.concat(F.lit("edited "), k.cast("string")).alias("text"))
+    return audits.curated(export, sheet).select("n", F.unix_micros("at").alias("at_us"), "text", "edited")
