@@ -44,7 +44,22 @@ def written(df: DataFrame, *partition_by: str, codec: str = "zstd") -> DataFrame
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no frame still to be run reads. Frames
+    made of them must be written themselves before: those don't go back to them if
+    an executor is lost. Then the driver's JVM collects garbage, as only that makes
+    Spark remove the shuffle files of finished jobs from the executors' disks."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(conf).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:

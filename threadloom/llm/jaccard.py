@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm._arrow import bounded_batches, give_back, mix64, slices, text_buffers, written
+from threadloom.llm._arrow import bounded_batches, give_back, mix64, release, slices, text_buffers, written
 from threadloom.llm.components import components
 from threadloom.llm.shingles import shingle_sets
 
@@ -252,7 +252,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pct: i
     dealt = pairs.join(hot, "a").select(F.col("b").alias("cid"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "ta", "tb")
     none = [F.lit(None).cast("long").alias(c) for c in ("b", "ta", "tb")]
     left = hot.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *none)
-    roles = written(left.unionByName(dealt))
+    roles = held_roles = written(left.unionByName(dealt))
     wanted = written(classes.select("cid", "rk", "rk2").join(roles.select("cid").distinct(), "cid"))
     if roles.count() <= BROADCAST_ROWS:  # more than are wanted: texts move once, to their partners
         texts = docs.join(F.broadcast(wanted), ["rk", "rk2"]).select("cid", "text").mapInArrow(_first_in_task, "cid long, text string")
@@ -282,7 +282,9 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pct: i
             if out:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:4]), pa.array([x[4] for x in out])], names=["a", "b", "ta", "tb", "linked"])
 
-    return written(rows.mapInArrow(run, "a long, b long, ta long, tb long, linked boolean"))
+    found = written(rows.mapInArrow(run, "a long, b long, ta long, tb long, linked boolean"))
+    release(pairs, held_roles, wanted)
+    return found
 
 
 def _families(df: DataFrame, k: int, pct: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -298,7 +300,8 @@ def _families(df: DataFrame, k: int, pct: int, id_col: str, text_col: str) -> tu
     member = posted.where("kind = 0").select(F.col("token").alias("c1"), "c2", "gid").dropDuplicates(["c1", "c2"])
     classes = classes.join(member, ["c1", "c2"]).select("c1", "c2", "gid", "at.rk", "at.rk2", "n", *BITS)
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
-    tokens = _tokens(posted, pct)
+    tokens = posted_tokens = _tokens(posted, pct)
+    release(posted)
     state = classes.select("cid", "gid", F.col("cid").alias("top"), "n", *BITS)
     inner = state.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("token"), "gid", F.lit(0).alias("pos"))
     found = verify(docs, classes, _first_pairs(tokens, state, pct), k, pct)
@@ -310,9 +313,12 @@ def _families(df: DataFrame, k: int, pct: int, id_col: str, text_col: str) -> tu
         if pairs.isEmpty():
             break  # no two families may be linked any more
         if best_only:  # where no pair is near enough now, none will be later: families only grow
-            tokens = written(tokens.join(pairs.select("token").distinct(), "token", "left_semi"))
+            tokens, before = written(tokens.join(pairs.select("token").distinct(), "token", "left_semi")), posted_tokens
+            release(before)
+            posted_tokens = tokens
         found = verify(docs, classes, pairs.drop("token").distinct().join(unlinked, ["a", "b"], "left_anti"), k, pct)
-        state = _merged(state, found)
+        state, before = _merged(state, found), state
+        release(before, pairs)
         unlinked = unlinked.unionByName(found.where("NOT linked").select("a", "b"))
     return rows, classes.select("cid", "c1", "c2").join(state.select("cid", "top"), "cid").drop("cid")
 
