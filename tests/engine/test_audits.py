@@ -52,6 +52,59 @@ def test_hints_as_a_plain_search(spark):
     assert {(r.id, r.heard) for r in audits.hints(t, p).collect()} == want
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as on tables too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def hints_of_an_id(spark):
+    """Texts of one id, copies and an id that is null; letters that marks follow, and the dotted capital I."""
+    texts = [(1, "Ask a b"), (1, "ask A.B a b"), (1, "ask A.B a b"), (2, "?! ask"), (2, "?!"), (None, "a b"), (None, "A B ask"), (3, "cafe\u0301 now"), (4, "\u0130stanbul"), (5, "")]
+    heard = ["ASK", "a b", "a.b", "?!", "cafe", "istanbul", "\u0130stanbul"]
+    t = spark.createDataFrame(texts, "id int, text string")
+    p = spark.createDataFrame([(h, "m", "confirmed", 1) for h in heard], "heard string, meant string, status string, seen int")
+    want = {(i, h) for i, x in texts for h in heard if re.search(rf"(?<!\w){re.escape(h)}(?!\w)", x, re.I)}
+    got = [(r.id, r.heard) for r in audits.hints(t, p).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_hints_once_for_an_id(spark):
+    hints_of_an_id(spark)
+
+
+def test_hints_once_for_an_id_without_broadcasts(spark, no_broadcast):
+    hints_of_an_id(spark)
+
+
+def test_hints_of_single_words_move_no_texts(spark, no_broadcast):
+    from threadloom import catalog
+
+    got = catalog.queries()["mishearing_hints"](spark, "/root/testdata/sf0.001")
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert moved and not any("text#" in x for x in moved)
+
+
+def test_mishearing_hints_as_sql_where_ids_repeat(spark, tmp_path):
+    """Turn 100 of a conversation and turn 0 of the next have the same id."""
+    import duckdb
+
+    from threadloom import catalog
+
+    said = ["Ask ask now", "now ask", "\u0130stanbul calls", "istanbul cafe\u0301", "cafe ask", None, "?!", "fill in", "fill", "fill", "now"]
+    rows = [(i % 2 + 1, 0 if i % 2 else 100, "user", x) for i, x in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.execute(catalog.oracle_sql()["mishearing_hints"]).fetchall()
+    got = catalog.queries()["mishearing_hints"](spark, str(tmp_path)).select("id", "heard", "meant", "status", "seen")
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_proposed_themes_only_made_ones_take_a_name(spark):
     form = "answer int, ord int, name string, description string, ideas array<int>, loose array<string>"
     loose = ["a", "b", "c", "d"]

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom.functions.text import squeezed
 from threadloom.operators import vectors
-from threadloom.primitives import explode_bridge, ranked
+from threadloom.primitives import checkpointed, explode_bridge, ranked
 
 # Numbers and names of the rules below (fixed values).
 THEME_KINDS = ("pin_theme", "unpin_theme", "rename_theme", "reject_theme", "merge_theme", "split_theme", "file_idea", "unfile_idea")
@@ -17,6 +17,7 @@ WORDING_TOP = 10
 LINES_NEAR = 50
 GRID_CARDS = 3
 LIMITS = {"title": 120, "statement": 1000, "note": 1000}
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def pooled(marks: DataFrame) -> DataFrame:
@@ -156,17 +157,36 @@ def corrections(edits: DataFrame) -> DataFrame:
     return rows.select("idea_id", F.inline(events))
 
 
+def folded(text: Column | str) -> Column:
+    """Text in lower case, letter by letter: the dotted capital I is one letter."""
+    return F.lower(F.replace(F.col(text) if isinstance(text, str) else text, F.lit("İ"), F.lit("i")))
+
+
 def hints(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, heard, meant, status, seen) of pairs (heard, meant, status, seen) that
     aren't rejected and whose heard words are in a text (id, text), as whole words in any
-    case. A text meets a pair by the first word heard, then the whole is looked for;
-    pairs without a word character meet all texts."""
-    word = r"(?U)\w+"
-    asked = pairs.where("status <> 'rejected'").withColumn("word", F.regexp_extract(F.lower("heard"), word, 0))
-    words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)), F.array(F.lit(""))))
-    met = texts.select("id", "text", F.explode(words).alias("word")).join(asked, "word")
-    quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace("heard", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
-    return met.where(F.regexp_like("text", quoted)).select("id", "heard", "meant", "status", "seen")
+    case: each pair once for an id, whichever of its texts it is in. Where one word is
+    heard, ids and words meet, without the texts. Other pairs meet a text's hash by their
+    first word, then the whole is looked for in the text; pairs without a word character
+    are looked for in all texts."""
+    columns, first = ["heard", "meant", "status", "seen"], F.regexp_extract(folded("heard"), WORD, 0)
+    asked = pairs.where("status <> 'rejected'").select(*columns, first.alias("word"), ((first != "") & (first == folded("heard"))).alias("single")).distinct()
+    asked = checkpointed(asked.withColumn("pair", F.monotonically_increasing_id()))  # numbers stay; its size is known to the joins
+    said = F.explode(F.array_distinct(F.regexp_extract_all(folded("text"), F.lit(WORD), F.lit(0)))).alias("word")
+    met = texts.select("id", said).join(asked.where("single").select("word", "pair"), "word").select("id", "pair")
+    longer = asked.where("NOT single").select("word", "pair", "heard")
+    if not longer.isEmpty():
+        edge = WORD.removesuffix("+")
+        quoted = F.concat(F.lit(rf"(?iu)(?<!{edge})\Q"), F.replace("heard", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{edge})"))
+        keyed = texts.select("id", "text", F.xxhash64("text").alias("key"))
+        near = keyed.select(F.col("id").alias("of"), "key", said).join(longer.where("word <> ''"), "word").select("of", "key", "pair", "heard").distinct()
+        near = keyed.join(near, (keyed["key"] == near["key"]) & keyed["id"].eqNullSafe(near["of"])).where(F.regexp_like("text", quoted))
+        bare = texts.select("id", "text").join(longer.where("word = ''"), F.regexp_like("text", quoted))
+        met = met.unionByName(near.select("id", "pair")).unionByName(bare.select("id", "pair"))
+    # by id too, since a frequent word is in most texts; the number is given, since these narrow
+    # rows would be merged into a few tasks, and the rows that each writes are far wider
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, "id", "pair").distinct().join(asked, "pair").select("id", *columns)
 
 
 def visible_by_day(cards: DataFrame) -> DataFrame:

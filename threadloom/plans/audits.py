@@ -168,7 +168,7 @@ SELECT id, heard, meant, status, seen FROM t JOIN p ON heard = upper(w) AND lowe
 def mishearing_hints(spark, sf_dir):
     """The words that turns begin with are heard."""
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    f = c.groupBy(F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}_]+", 0).alias("w")).agg(F.count("*").alias("seen")).where(F.col("w").rlike("^[a-z]+$"))
+    f = c.groupBy(F.regexp_extract(audits.folded("text"), audits.WORD, 0).alias("w")).agg(F.count("*").alias("seen")).where(F.col("w").rlike("^[a-z]+$"))
     status = F.when(F.col("seen") % 3 == 0, "rejected").when(F.col("seen") % 3 == 1, "confirmed").otherwise("provisional")
     return audits.hints(c, f.select(F.upper("w").alias("heard"), F.concat("w", F.lit("!")).alias("meant"), status.alias("status"), "seen"))
 
